@@ -183,3 +183,12 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 def words_of(text: str) -> list[str]:
     """The words of the near-duplicate operators: lower case, split at white space."""
     return text.lower().split()
+
+
+#: Rows of ids (a few dozen bytes each) up to which a side is sent to every executor; beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def joined(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
+    """``df`` joined with a written table of short rows: without moving ``df`` while the table's counted size allows it."""
+    return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)

@@ -1,0 +1,33 @@
+"""Connected components by alternating large and small stars, on tables of edges."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.llm.common import written
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of an edge list (a, b) but the roots; root is the smallest node of its component.
+
+    Each round joins edges with the smallest neighbour of their nodes, so no
+    neighbourhood is gathered in one place; rounds grow with the logarithm of
+    the longest path. Loops and repeated edges do no harm.
+    """
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    last = None
+    for _ in range(rounds):
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least).distinct()
+        e = written(small)
+        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == last:
+            break
+        last = now
+    else:
+        raise RuntimeError("components did not settle")
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

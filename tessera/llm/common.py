@@ -189,6 +189,6 @@ def words_of(text: str) -> list[str]:
 BROADCAST_ROWS = 1_000_000
 
 
-def joined(df: DataFrame, small: DataFrame, on: str, how: str) -> DataFrame:
+def joined(df: DataFrame, small: DataFrame, on: str | list[str], how: str) -> DataFrame:
     """``df`` joined with a written table of short rows: without moving ``df`` while the table's counted size allows it."""
     return df.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, html, licences, media, minhash, neighbours, packing, quality
+from tessera.llm import bpe, html, licences, lines, media, minhash, neighbours, packing, passages, quality
 from tessera.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return packing.packed(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -42,6 +46,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,14 +64,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media": op1_media,
         "op2_minhash": op2_minhash,
+        "op3_lines": op3_lines,
         "op4_packing": op4_packing,
         "op5_neighbours": op5_neighbours,
         "op6_quality": op6_quality,
         "op7_html": op7_html,
+        "op8_passages": op8_passages,
         "op9_bpe": op9_bpe,
         "op10_licences": op10_licences,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_lines": lines.SQL}

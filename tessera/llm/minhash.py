@@ -8,20 +8,18 @@ texts without repeated shingles that is the plain Jaccard similarity). A
 process ends when its next arrival is later than every register's, so most
 shingles are looked at once.
 
-Registers are banded; texts that share a band are candidates. Candidates are
-first compared with a hub of their bucket, which joins groups of copies without
-all their pairs; after that every pair of a bucket whose texts are in different
-components still is compared. What is compared is decided by the exact
-similarity of the whole texts.
+Registers are banded; texts that share a band are candidates, and candidates of
+candidates form groups. In a group every text meets every other that it isn't
+joined with yet, by the exact similarity of whole texts, so no link between two
+texts that share a band is lost; what a task puts out are joining links, never
+all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import WordHashes, joined, map_texts, mix, windows, words_of, written
@@ -30,8 +28,8 @@ from tessera.llm.graph import components
 SHINGLE, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with a probability of 3e-6.
 BANDS, ROWS = 24, 4
-#: Members of a bucket that meet one copy of its hub's text.
-SALT = 512
+#: Texts of a group that one task lays out against as many others.
+BLOCK = 1024
 
 
 def weighted(text: str, hashes: WordHashes, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -112,29 +110,84 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     return map_texts(docs, ["doc_id"], "node long, bands array<long>", make)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts reach the threshold; ``texts`` is (node, text), one row a node.
+def links_between(a: list[tuple[np.ndarray, np.ndarray]], b: list[tuple[np.ndarray, np.ndarray]] | None, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Pairs (i, j) of weighted sets of a and b (of a alone, i < j, if b is None) that reach the threshold: as many as
+    join what is similar, fewer than all. Every pair that isn't joined yet is compared.
 
-    The text of b goes to the pair, that of a to each salted part of a's pairs,
-    so a hub with many pairs is spread.
+    One set is laid out and met by all others at once. The sum over common
+    shingles of the smaller share of either set bounds the probability Jaccard
+    from above; where no shingle is repeated it gives it exactly. Other pairs
+    that the bound lets through are computed in full.
+    """
+    every = a if b is None else a + b
+    first = 0 if b is None else len(a)
+    full = [i for i in range(first, len(every)) if len(every[i][0])]
+    if not full:
+        return []
+    ids, place = np.unique(np.concatenate([s[0] for s in every]), return_inverse=True)
+    size = np.array([len(s[0]) for s in every])
+    ends = np.cumsum(size)
+    share = np.concatenate([s[1] / s[1].sum() if len(s[1]) else s[1] for s in every])
+    plain = np.array([bool((s[1] == 1).all()) for s in every])
+    lo = ends[first] - size[first]
+    place_b, share_b = place[lo:], share[lo:]
+    starts = (ends - size)[full] - lo
+    of = np.array(full)
+    parent = list(range(len(every)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    laid = np.zeros(len(ids))
+    out = []
+    for i in range(len(a)):
+        if not size[i]:
+            continue
+        own = slice(ends[i] - size[i], ends[i])
+        laid[place[own]] = share[own]
+        met = laid[place_b]
+        bound = np.add.reduceat(np.minimum(met, share_b), starts)
+        common = np.add.reduceat((met > 0).astype(np.int64), starts)
+        laid[place[own]] = 0
+        exact = common / (size[i] + size[of] - common)
+        both_plain = plain[of] & plain[i]
+        near = np.where(both_plain, exact >= threshold - 1e-12, bound >= threshold - 1e-9)
+        if b is None:
+            near &= of > i
+        for k in np.flatnonzero(near):
+            j = int(of[k])
+            x, y = find(i), find(j)
+            if x != y and (both_plain[k] or similarity(every[i], every[j]) >= threshold - 1e-12):
+                parent[max(x, y)] = min(x, y)
+                out.append((i, j - first if b is not None else j))
+    return out
+
+
+def links_in_groups(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of nodes within each group of ``members`` (node, root); ``texts`` is (node, text), one row a node.
+
+    A group is dealt into blocks of about ``block`` texts and every two blocks
+    meet in one task, so the memory of a task is bounded whatever the group.
     """
-    salted = pairs.withColumn("s", F.floor(F.row_number().over(Window.partitionBy("a", F.pmod("b", F.lit(64))).orderBy("b")) / SALT).cast("int") * 64 + F.pmod("b", F.lit(64)).cast("int"))
-    members = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    hubs = salted.select("a", "s").distinct().join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = members.join(hubs, ["a", "s"]).select("a", "b", "ta", "tb")
+    n = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    blocks = members.join(n, "root").withColumn("k", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    dealt = blocks.join(texts, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("root", F.least("k", "o").alias("bi"), F.greatest("k", "o").alias("bj"), "k", "node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(t: pa.Table) -> pa.Table:
         hashes = WordHashes()
-        last, set_a = None, None
-        for batch in batches:
-            a, b, keep = batch["a"].to_pylist(), batch["b"].to_pylist(), []
-            for i in range(len(a)):
-                if a[i] != last or set_a is None:
-                    last, set_a = a[i], weighted(batch["ta"][i].as_py() or "", hashes)
-                keep.append(similarity(set_a, weighted(batch["tb"][i].as_py() or "", hashes)) >= threshold - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        bi, bj = t["bi"][0].as_py(), t["bj"][0].as_py()
+        nodes, ks = t["node"].to_pylist(), t["k"].to_pylist()
+        order = sorted(range(len(nodes)), key=nodes.__getitem__)
+        left, right = [i for i in order if ks[i] == bi], [i for i in order if ks[i] == bj]
+        a = [weighted(t["text"][i].as_py() or "", hashes) for i in left]
+        b = None if bi == bj else [weighted(t["text"][i].as_py() or "", hashes) for i in right]
+        got = links_between(a, b, threshold)
+        return pa.table({"a": pa.array([nodes[left[i]] for i, _ in got], pa.int64()), "b": pa.array([nodes[right[j]] for _, j in got], pa.int64())})
 
-    return both.mapInArrow(run, "a long, b long")
+    return dealt.groupBy("root", "bi", "bj").applyInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -149,23 +202,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sig = written(signatures(docs))
     nodes = sig.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("bands", ignorenulls=True).alias("bands"))
     buckets = written(nodes.where("bands is not null").select("node", "least", F.posexplode("bands").alias("band", "h")).select("node", "least", F.xxhash64("band", "h").alias("h")))
-    # Buckets of one node are no business of anyone.
-    shared = buckets.groupBy("h").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "h")).alias("hub")).where("n > 1")
-    full = written(buckets.join(shared, "h").select("h", "hub", "node"))
-    need = written(full.select("node").distinct())
-    first = written(nodes.join(need, "node", "left_semi").select("node", F.col("least").alias("doc_id")))
+    # Buckets of one node are no business of anyone. The others tie their nodes to the smallest of them.
+    shared = buckets.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1")
+    star = buckets.join(shared, "h").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tied = components(star)
+    members = written(tied.union(tied.select("root", "root").distinct()))
+    first = written(nodes.join(members.select("node"), "node", "left_semi").select("node", F.col("least").alias("doc_id")))
     # One text for each node that is compared, from the first document that has it.
-    texts = _texts(docs, first)
-    star = full.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified(star, texts, threshold))
+    links = written(links_in_groups(members, _texts(docs, first), threshold))
     roots = components(links)
-    placed = full.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("h")
-    open_ = written(placed.join(mixed, "h", "left_semi"))
-    l, r = open_.select("h", F.col("node").alias("a"), F.col("root").alias("ra")), open_.select("h", F.col("node").alias("b"), F.col("root").alias("rb"))
-    cross = l.join(r, "h").where("ra < rb").select("a", "b").distinct().join(links.select("a", "b").union(links.select("b", "a")), ["a", "b"], "left_anti")
-    more = written(verified(cross, texts, threshold))
-    roots = components(links.union(more)) if more.limit(1).count() else roots
     of_node = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = of_node.groupBy("root").agg(F.min("least").alias("class_id"))
     of_node = of_node.join(named, "root").select("node", "class_id", "root")

@@ -17,8 +17,8 @@ from tessera.llm.common import table, written
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranker rejects go."""
     ranker = quality.train(docs, table(spark, sf_dir, "labels"))
-    kept = quality.scored(docs, ranker, docs.columns).where("predicted = 1")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text")
+    return quality.scored(rows, ranker, ["__row", "doc_id"]).where("predicted = 1").select("__row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

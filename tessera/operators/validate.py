@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.scratch import stored
+
 STATUSES = ["resolved", "ambiguous", "unstructured_only", "missing"]
 
 
@@ -55,7 +57,8 @@ def errors(candidates: DataFrame) -> Column:
 
 
 def validated(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(candidates without errors, (candidate_id, message) of the others)."""
+    """(candidates without errors, (candidate_id, message) of the others). The candidates are stored once for both."""
+    candidates = stored(candidates)
     judged = candidates.withColumn("__errors", errors(candidates))
     bad = judged.where(F.size("__errors") > 0).select("candidate_id", F.explode("__errors").alias("message"))
     return judged.where(F.size("__errors") == 0).drop("__errors"), bad

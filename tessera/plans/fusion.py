@@ -100,7 +100,7 @@ def run(
         return out
     record_cluster, out.clusters, said = resolve(out.observations)
     out.warnings += [r.message for r in said.orderBy("order", "key").collect()]
-    good, bad = validated(stored(fuse(out.observations, record_cluster)))
+    good, bad = validated(fuse(out.observations, record_cluster))
     out.errors += [f"canonical schema validation failed: {r.candidate_id}: {r.message}" for r in bad.orderBy("candidate_id", "message").collect()]
     out.candidates = good
     if config is not None:

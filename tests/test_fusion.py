@@ -10,7 +10,6 @@ from tessera.operators import project as P
 from tessera.operators import resolve as R
 from tessera.operators.components import components
 from tessera.operators.fuse import fuse
-from tessera.operators.scratch import stored
 from tessera.operators.validate import validated
 from tessera.plans.cli import main
 from tessera.sources.notes import find, negated, note_claims
@@ -101,7 +100,7 @@ def test_roles_fold_and_validate(spark):
     rows = [("r1", "candidate_ref", "A"), ("r1", "experience.company", "ACME, INC."), ("r1", "experience.title", "Engineer"), ("r2", "candidate_ref", "A"), ("r2", "experience.company", "Acme"), ("r2", "experience.title", "engineer"), ("r2", "skills", "Python", "recruiter_notes", 0.68), ("r2", "skills", "Python", "github_profile", 0.64)]
     obs = observations(spark, rows)
     rc, _, _ = R.resolve(obs)
-    good, bad = validated(stored(fuse(obs, rc)))
+    good, bad = validated(fuse(obs, rc))
     (c,) = good.collect()
     assert bad.count() == 0 and [(e.company, e.title) for e in c.experience] == [("Acme", "Engineer")]
     assert [(s.name, s.confidence) for s in c.skills] == [("Python", 0.73)]

@@ -30,6 +30,8 @@ PASSAGE, CHAIN, IDENTITY = 50, 20, 0.8
 GAP_COST, GAP_MOST = 0.25, 100
 #: Growth at an end stops when it has lost so much; a mismatch costs 2, a match gains 1.
 DROP, MARGIN = 12, 64
+#: Cuts of one text, and pairs of cuts, that are handled together.
+ASKS = 1000
 
 
 def minimizers(h: np.ndarray, k: int = K, w: int = WINDOW) -> np.ndarray:
@@ -223,20 +225,29 @@ def aligned(docs: DataFrame, found: DataFrame) -> DataFrame:
     )
     wanted = written(asks.select(F.col("of").alias("doc_id")).distinct())
     texts = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), wanted, "doc_id", "left_semi")
-    cuts = texts.withColumnRenamed("doc_id", "of").join(asks, "of").select("of", "id", "side", "lo", "hi", "text")
+    # A document's asks come together, so many to a row: its text is moved once for each such row, not for each ask.
+    part = F.floor((F.row_number().over(Window.partitionBy("of").orderBy("id", "side")) - 1) / ASKS)
+    lists = asks.withColumn("part", part).groupBy("of", "part").agg(F.collect_list(F.struct("id", "side", "lo", "hi")).alias("asks"))
+    cuts = texts.withColumnRenamed("doc_id", "of").join(lists, "of").select("asks", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        last, h = None, np.empty(0, np.uint32)
+        out: list[tuple] = []
+
+        def made_so_far() -> pa.RecordBatch:
+            cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, ["id", "side", "lo", "words"])
+
         for b in batches:
-            of, lo, hi, out = b["of"].to_pylist(), b["lo"].to_pylist(), b["hi"].to_pylist(), []
-            for i in range(len(of)):
-                text = b["text"][i]
-                if last is None or of[i] != last[0] or text != last[1]:
-                    last = (of[i], text)
-                    h = (hashes.of(words_of(text.as_py())) >> np.uint64(32)).astype(np.uint32)
-                out.append(h[lo[i] : hi[i]].tobytes())
-            yield pa.RecordBatch.from_arrays([b["id"], b["side"], b["lo"], pa.array(out, pa.binary())], ["id", "side", "lo", "words"])
+            for i in range(len(b)):
+                h = (hashes.of(words_of(b["text"][i].as_py())) >> np.uint64(32)).astype(np.uint32)
+                for k in b["asks"][i].as_py():
+                    out.append((k["id"], k["side"], k["lo"], h[k["lo"] : k["hi"]].tobytes()))
+                    if len(out) == ASKS:
+                        yield made_so_far()
+        if out:
+            yield made_so_far()
 
     made = cuts.mapInArrow(cut, "id long, side int, lo int, words binary")
     stored = written(made)
@@ -245,7 +256,7 @@ def aligned(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = c.join(one, "id").join(two, "id").select("doc_id", "other_id", "anchors", "la", "wa", "lb", "wb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ASKS) for b in batches for i in range(0, len(b), ASKS)):
             rows = []
             for r in batch.select(["anchors", "la", "wa", "lb", "wb"]).to_pylist():
                 v, la, lb = r["anchors"], r["la"], r["lb"]

@@ -44,12 +44,11 @@ def minimizers(h: np.ndarray, k: int = K, w: int = WINDOW) -> np.ndarray:
     return np.unique(np.arange(len(view)) + view.argmin(1))
 
 
-def chain(x: np.ndarray, y: np.ndarray, k: int = K, least: int = CHAIN) -> list[list[tuple[int, int, int]]]:
+def chain(x: np.ndarray, y: np.ndarray, k: int = K) -> list[list[tuple[int, int, int]]]:
     """Chains of matches (k words at x in one text and at y in the other), best first; a match is in one chain at most.
 
     A chain is a list of (x, y, words), ascending in both. Its score is the
-    words covered less ``GAP_COST`` for each word of the gaps (in both texts);
-    chains that cover fewer than ``k`` words or span fewer than ``least`` - k are left out.
+    words covered less ``GAP_COST`` for each word of the gaps (in both texts).
     """
     # Matches on one diagonal that overlap or lie near become one anchor.
     order = np.lexsort((x, y - x))
@@ -58,35 +57,31 @@ def chain(x: np.ndarray, y: np.ndarray, k: int = K, least: int = CHAIN) -> list[
     start = np.flatnonzero(new)
     end = np.r_[start[1:], len(x)] - 1
     anchors = sorted(zip(x[start].tolist(), y[start].tolist(), (x[end] - x[start] + k).tolist()))
-    out = []
-    while anchors:
-        best, back = _best(anchors)
-        if best is None:
-            break
-        picked, i = [], best
-        while i is not None:
-            picked.append(i)
+    score, back = _scores(anchors)
+    out, used = [], [False] * len(anchors)
+    # Best ends first; a chain is followed back to its start or to what a better chain has taken.
+    for i in sorted(range(len(anchors)), key=score.__getitem__, reverse=True):
+        picked = []
+        while i is not None and not used[i]:
+            used[i] = True
+            picked.append(anchors[i])
             i = back[i]
-        found = [anchors[i] for i in picked[::-1]]
-        out.append(found)
-        used = set(picked)
-        anchors = [a for i, a in enumerate(anchors) if i not in used]
+        if picked:
+            out.append(picked[::-1])
     return out
 
 
-def _best(anchors: list[tuple[int, int, int]]) -> tuple[int | None, list[int | None]]:
-    """The last anchor of the best chain, and each anchor's predecessor."""
+def _scores(anchors: list[tuple[int, int, int]]) -> tuple[list[float], list[int | None]]:
+    """For each anchor the score of the best chain that ends with it, and its predecessor there; in one pass."""
     n = len(anchors)
     back: list[int | None] = [None] * n
-    if n == 1:
-        return 0, back
     ends = sorted({a[1] + a[2] for a in anchors})
     tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(ends) + 1)
     score = [0.0] * n
     waiting = sorted(range(n), key=lambda i: anchors[i][0] + anchors[i][2])
     w = 0
     for i, (x, y, size) in enumerate(anchors):
-        while w < n and anchors[waiting[w]][0] + anchors[waiting[w]][2] <= x and waiting[w] < i:
+        while w < n and anchors[waiting[w]][0] + anchors[waiting[w]][2] <= x:
             j = waiting[w]
             xe, ye = anchors[j][0] + anchors[j][2], anchors[j][1] + anchors[j][2]
             item, at = (score[j] + GAP_COST * (xe + ye), j), bisect_left(ends, ye) + 1
@@ -106,7 +101,7 @@ def _best(anchors: list[tuple[int, int, int]]) -> tuple[int | None, list[int | N
             if gained > 0 and max(x - px - ps, y - py - ps) <= GAP_MOST:
                 score[i] += gained
                 back[i] = top[1]
-    return max(range(n), key=score.__getitem__), back
+    return score, back
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:

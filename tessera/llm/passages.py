@@ -165,7 +165,7 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 def chains(docs: DataFrame) -> DataFrame:
     """(doc_id, other_id, anchors): chains of each text with earlier ones. Only rows of one document are held at a time."""
-    s = seeds(docs)
+    s = written(seeds(docs))  # read twice; as a plan it would be made twice
     heads = s.groupBy("seed").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("top"), F.min_by("at", F.expr("CASE WHEN first THEN doc_id END")).alias("other_at")).where("other_id < top")
     matches = s.select("seed", "doc_id", "at").join(heads.select("seed", "other_id", "other_at"), "seed").where("doc_id <> other_id")
     dealt = matches.select("doc_id", "other_id", "at", "other_at").repartition("doc_id").sortWithinPartitions("doc_id", "other_id", "at", "other_at")

@@ -6,7 +6,8 @@ earliest document (smallest doc_id), never with all others, so work grows with
 the text. The matches of two documents are merged along diagonals and chained:
 in order of both texts, with a cost for gaps, by prefix maxima in a Fenwick
 tree. Each chain is aligned word by word, grown at both ends, and kept as a
-fuzzy passage if enough of it agrees. Chains with different documents that
+fuzzy passage if enough of it agrees; else its longest parts that agree enough
+are kept. Chains with different documents that
 adjoin in a text count together, as a passage may have been seen first in
 parts.
 """
@@ -141,6 +142,76 @@ def align(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int, int]]) ->
     return x0 - left, x1 + s1 + right, y0 - left, y1 + s1 + right, same
 
 
+def exact_runs(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The runs of equal words of a chain's anchors, each anchor grown exactly into the gaps and at the ends."""
+    out: list[tuple[int, int, int]] = []
+    for i, (x, y, s) in enumerate(anchors):
+        px, py = (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]) if out else (0, 0)
+        nx, ny = anchors[i + 1][:2] if i + 1 < len(anchors) else (len(a), len(b))
+        before, after = min(x - px, y - py), min(nx - x, ny - y) - s
+        lo, hi = x - before, x + s + after
+        same = a[lo:hi] == b[lo + y - x : hi + y - x]
+        edge = np.flatnonzero(np.diff(np.r_[False, same, False]))
+        for u, v in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            # Beyond the anchor only what touches it; the rest of a gap is aligned by `common`.
+            if v > before and u < before + s:
+                out.append((lo + u, lo + u + y - x, v - u))
+    return out
+
+
+def parts(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int, int]], least: int, identity: float) -> list[tuple[int, int, int, int, int]]:
+    """A chain as ``align`` gives it if enough of it agrees, else its longest stretches of which enough does.
+
+    A stretch begins and ends with a run of equal words and has at least ``least``
+    words. The longest comes first, then those of what is left on its two sides.
+    """
+
+    def enough(p: tuple[int, int, int, int, int]) -> bool:
+        return p[4] >= identity * max(1, p[1] - p[0], p[3] - p[2])
+
+    whole = align(a, b, anchors)
+    if enough(whole) or whole[1] - whole[0] < least:
+        return [whole]
+    runs = exact_runs(a, b, anchors)
+    if not runs:
+        return []
+    # gain[i]: what is over, up to the start of run i, when a word that disagrees outweighs those that must agree with it.
+    cost = identity / (1 - identity) if identity < 1 else float(len(a) + len(b))
+    gain, ends = [0.0], []
+    for i, (x, y, s) in enumerate(runs):
+        ends.append(gain[-1] + s)
+        if i + 1 < len(runs):
+            nx, ny, _ = runs[i + 1]
+            same = common(a[x + s : nx], b[y + s : ny])
+            gain.append(ends[-1] + same - cost * (max(nx - x - s, ny - y - s) - same))
+    out, todo = [], [(0, len(runs))]
+    while todo:
+        lo, hi = todo.pop()
+        starts: list[int] = []
+        for i in range(lo, hi):
+            if not starts or gain[i] < gain[starts[-1]]:
+                starts.append(i)
+        best = (0, lo, lo)
+        for j in range(hi - 1, lo - 1, -1):
+            while starts and ends[j] >= gain[starts[-1]] - 1e-9:
+                i = starts.pop()
+                if i <= j:
+                    best = max(best, (runs[j][0] + runs[j][2] - runs[i][0], i, j))
+        n, i, j = best
+        # A short stretch may still grow to enough words at its ends.
+        if n < max(1, least // 2):
+            continue
+        grown = align(a, b, runs[i : j + 1])
+        if not enough(grown):
+            (x, y, _), (u, v, s) = runs[i], runs[j]
+            at = align(a[x : u + s], b[y : v + s], [(p - x, q - y, r) for p, q, r in runs[i : j + 1]])
+            grown = (at[0] + x, at[1] + x, at[2] + y, at[3] + y, at[4])
+        if grown[1] - grown[0] >= least:
+            out.append(grown)
+        todo += [(lo, i), (j + 1, hi)]
+    return out
+
+
 def seeds(docs: DataFrame) -> DataFrame:
     """(seed, doc_id, at, first): the minimizers of each whole text; ``first`` marks a seed's first place in its text."""
 
@@ -208,8 +279,8 @@ def chains(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id long, other_id long, anchors array<int>")
 
 
-def aligned(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Chains as passages: doc_id, other_id, start, end, other_start, other_end (words, ends beyond), n_same, identity.
+def aligned(docs: DataFrame, found: DataFrame, least: int = CHAIN, identity: float = IDENTITY) -> DataFrame:
+    """Chains, or their parts, as passages: doc_id, other_id, start, end, other_start, other_end (words, ends beyond), n_same, identity.
 
     Only the words around a chain are moved: each side's document is read once,
     cut, and the two cuts of a chain meet by its number.
@@ -252,14 +323,16 @@ def aligned(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, ASKS) for b in batches for i in range(0, len(b), ASKS)):
-            rows = []
-            for r in batch.select(["anchors", "la", "wa", "lb", "wb"]).to_pylist():
+            rows, of = [], []
+            for k, r in enumerate(batch.select(["anchors", "la", "wa", "lb", "wb"]).to_pylist()):
                 v, la, lb = r["anchors"], r["la"], r["lb"]
-                s, e, t, u, same = align(np.frombuffer(r["wa"], np.uint32), np.frombuffer(r["wb"], np.uint32), [(v[i] - la, v[i + 1] - lb, v[i + 2]) for i in range(0, len(v), 3)])
-                rows.append((s + la, e + la, t + lb, u + lb, same, same / max(1, e - s, u - t)))
+                for s, e, t, u, same in parts(np.frombuffer(r["wa"], np.uint32), np.frombuffer(r["wb"], np.uint32), [(v[i] - la, v[i + 1] - lb, v[i + 2]) for i in range(0, len(v), 3)], least, identity):
+                    rows.append((s + la, e + la, t + lb, u + lb, same, same / max(1, e - s, u - t)))
+                    of.append(k)
             cols = list(zip(*rows)) if rows else [()] * 6
+            of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["other_id"], *[pa.array(x, pa.int32()) for x in cols[:5]], pa.array(cols[5], pa.float64())],
+                [batch["doc_id"].take(of), batch["other_id"].take(of), *[pa.array(x, pa.int32()) for x in cols[:5]], pa.array(cols[5], pa.float64())],
                 ["doc_id", "other_id", "start", "end", "other_start", "other_end", "n_same", "identity"],
             )
 
@@ -276,7 +349,7 @@ def passages(docs: DataFrame, words: int = PASSAGE, least: int = CHAIN, identity
     passage is the other of the later ones. Rows without doc_id or text take no
     part; of rows that repeat a doc_id with different texts one is aligned.
     """
-    good = aligned(docs, chains(docs)).where((F.col("identity") >= identity) & (F.col("end") - F.col("start") >= least))
+    good = aligned(docs, chains(docs), least, identity).where((F.col("identity") >= identity) & (F.col("end") - F.col("start") >= least))
     w = Window.partitionBy("doc_id").orderBy("start", "end", "other_id", "other_start")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = good.withColumn("new", F.when(before.isNull() | (F.col("start") > before + 3), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))

@@ -179,6 +179,37 @@ def test_fuzzy_passage_is_found(spark):
     assert got[0].run_start <= 20 and got[0].run_end >= 98
 
 
+def test_passages_with_foreign_words_between(spark):
+    rnd = random.Random(11)
+    own = lambda n: ["".join(rnd.choice("klmnopqrst") for _ in range(9)) for _ in range(n)]
+    rows, pairs = [], {}
+    for n in (30, 50, 80, 100):
+        for both in (False, True):
+            a, b, at = own(60), own(60), 2 * len(pairs)
+            rows.append((at, " ".join(own(40) + a + own(n) + b + own(40))))
+            rows.append((at + 1, " ".join(own(20) + a + (own(n) if both else []) + b + own(20))))
+            pairs[at + 1] = (n, both)
+    covered = {}
+    for r in passages.passages(table(spark, rows)).collect():
+        assert r.other_id == r.doc_id - 1 and r.identity >= 0.8
+        covered.setdefault(r.doc_id, set()).update(range(r.run_start, r.run_end))
+    for d, (n, both) in pairs.items():
+        second = 80 + (n if both else 0)
+        assert set(range(20, 80)) | set(range(second, second + 60)) <= covered[d], (n, both)
+        assert n == 30 or len(covered[d]) <= 126, (n, both)
+
+
+def test_parts_inside_an_anchor():
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 2**32, 300).astype(np.uint32), rng.integers(0, 2**32, 300).astype(np.uint32)
+    b[20:80] = a[20:80]
+    for k in range(96, 200, 24):
+        b[k : k + 8] = a[k : k + 8]
+    got = passages.parts(a, b, [(20, 20, 180)], 20, 0.8)
+    assert any(s <= 20 and e >= 80 for s, e, *_ in got)
+    assert all(same >= 0.8 * max(e - s, u - t) for s, e, t, u, same in got)
+
+
 def test_html(spark):
     nav = "<nav><ul><li>Home</li><li>About us all</li></ul></nav><div class='cookie-notice'>We use cookies</div>"
     art = lambda t: f"<html><head><title>x</title></head><body>{nav}<article><h1>{t} &amp; co</h1><p>Body  of\n{t}<p>Second</article><footer>f</footer>"

@@ -3,10 +3,11 @@
 A page becomes a stream of blocks of words. The streams of a host's pages are
 concatenated and their suffixes sorted; runs of words that begin suffixes of
 several distinct pages are boilerplate, and blocks outside an article that such
-runs cover are removed. What is unique stays. Structure decides where the
-array can't: an article's own text stays even if another page repeats it (a
-copied article is no boilerplate), and menus, notices, forms and the like go
-even from a host with one page.
+runs cover are removed, on pages with an article too. What is unique stays.
+In an article short runs are common prose: there a block goes if it stands whole
+in several pages, unless most of the article does (a copied article is no
+boilerplate). Structure decides where repetition can't: menus, notices, forms
+and the like go even from a host with one page.
 
 Hosts of many pages are taken in groups of bounded size, so that no task holds
 a whole host; a host's boilerplate shows in each group.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -175,26 +177,41 @@ def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> lis
     return [mark[bounds[k] : bounds[k + 1] - 1] for k in same]
 
 
+def _streams(parsed: list[list[tuple[str, int]]]) -> list[list[str]]:
+    return [[w for t, s in b if s != 2 for w in t.split()] for b in parsed]
+
+
+def _repeated(parsed: list[list[tuple[str, int]]], run: int, least: int) -> set[str]:
+    """Article blocks of at least ``run`` words that stand whole in ``least`` distinct pages (equal pages count as one)."""
+    pages: Counter = Counter()
+    for b in {tuple(b): b for b in parsed}.values():
+        pages.update({t for t, s in b if s == 2 and t.count(" ") + 1 >= run})
+    return {t for t, n in pages.items() if n >= least}
+
+
 def _group(pages: list[str], run: int, least: int) -> list[tuple[str, int]]:
     parsed = [blocks(p) for p in pages]
-    streams, whole = [], []
-    for b in parsed:
-        own = any(s == 2 for _, s in b)
-        whole.append(own)
-        # An article's own text is kept, so it need not be sorted; without an article all blocks are.
-        streams.append([w for t, s in b if s != 2 for w in t.split()])
+    copied = _repeated(parsed, run, least)
     out = []
-    for b, own, mark in zip(parsed, whole, covered(streams, run, least)):
+    for b, mark in zip(parsed, covered(_streams(parsed), run, least)):
+        size = sum(t.count(" ") + 1 for t, s in b if s == 2)
+        again = sum(t.count(" ") + 1 for t, s in b if s == 2 and t in copied)
+        # An article that is mostly repeated is a copy, not boilerplate.
+        copy = 2 * again > size
         at, kept, removed, rest = 0, [], 0, []
         for t, s in b:
+            n = t.count(" ") + 1
             if s == 2:
-                kept.append(t)
+                if copy or t not in copied:
+                    kept.append(t)
+                else:
+                    removed += n
                 continue
-            n = t.count(" ") + 1
             hit = int(mark[at : at + n].sum())
             at += n
-            if s == 1 and not own:
-                rest.append(t)
+            if s == 1:
+                if not size:
+                    rest.append(t)
                 if 2 * hit < n:
                     kept.append(t)
                     continue

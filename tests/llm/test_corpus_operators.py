@@ -226,6 +226,18 @@ def test_html(spark):
     assert html.main_text(df.where("false")).count() == 0
 
 
+def test_html_repetition_decides_beside_and_in_articles():
+    foot = "<p>All rights reserved by this one host</p>"
+    more = "<p>Read our daily letter for more of this</p>"
+    own = lambda k: " ".join(f"{k}{i}" for i in range(12))
+    page = lambda k: f"<p>{own('intro' + k)}</p><article><p>{own(k)}</p><p>{own(k + k)}</p>{more}</article>{foot}"
+    got = html._group([page("a"), page("b"), page("c")], html.RUN, html.PAGES)
+    for k, (text, removed) in zip("abc", got):
+        assert text == "\n".join([own("intro" + k), own(k), own(k + k)]) and removed == 15
+    copies = [f"<article><p>{own('x')}</p><p>{own('y')}</p></article><p>{own(k)}</p>" for k in "de"]
+    assert all(own("x") in t and own("y") in t for t, _ in html._group(copies, html.RUN, html.PAGES))
+
+
 def test_suffix_classes_are_equal_beginnings():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 200)

@@ -10,7 +10,9 @@ boilerplate). Structure decides where repetition can't: menus, notices, forms
 and the like go even from a host with one page.
 
 Hosts of many pages are taken in groups of bounded size, so that no task holds
-a whole host; a host's boilerplate shows in each group.
+a whole host. Runs and article blocks of such a host that stand in pages of
+several groups are found by their hashes, and each group is told those it
+holds: the text of a page doesn't depend on the size of its host.
 """
 
 from __future__ import annotations
@@ -18,12 +20,15 @@ from __future__ import annotations
 import html as _html
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import WordHashes, windows, written
+
 #: Pages of one host that are sorted together, about.
 GROUP = 256
 #: Words of a run, and distinct pages that share it, from which on it is boilerplate.
@@ -145,10 +150,11 @@ def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     return np.argsort(rank, kind="stable"), rank
 
 
-def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
+def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES, known: np.ndarray | None = None) -> list[np.ndarray]:
     """For each stream, which words lie in a run of at least ``run`` words that ``pages`` distinct streams share.
 
-    Streams that are equal count as one page.
+    Streams that are equal count as one page. ``known`` are sorted hashes of
+    runs (as ``run_hashes`` gives them) that distinct streams elsewhere share.
     """
     kinds: dict[tuple, int] = {}
     same = [kinds.setdefault(tuple(s), len(kinds)) for s in streams]
@@ -174,6 +180,12 @@ def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> lis
         np.add.at(edge, np.minimum(starts + run, len(tokens)), -1)
         mark = np.cumsum(edge[:-1]) > 0
     bounds = np.searchsorted(page, np.arange(len(kinds) + 1))
+    if known is not None and len(known):
+        hashes = WordHashes()
+        for k, i in first.items():
+            hit = np.flatnonzero(np.isin(run_hashes(streams[i], run, hashes), known))
+            for j in range(run):
+                mark[bounds[k] + hit + j] = True
     return [mark[bounds[k] : bounds[k + 1] - 1] for k in same]
 
 
@@ -181,19 +193,52 @@ def _streams(parsed: list[list[tuple[str, int]]]) -> list[list[str]]:
     return [[w for t, s in b if s != 2 for w in t.split()] for b in parsed]
 
 
-def _repeated(parsed: list[list[tuple[str, int]]], run: int, least: int) -> set[str]:
-    """Article blocks of at least ``run`` words that stand whole in ``least`` distinct pages (equal pages count as one)."""
+def run_hashes(stream: list[str], run: int, hashes: WordHashes) -> np.ndarray:
+    """The hash of each run of ``run`` words, in order."""
+    return windows(hashes.of(stream), run).view(np.int64) if len(stream) >= run else np.empty(0, np.int64)
+
+
+def block_hash(block: str) -> int:
+    """The hash of a whole article block; unlike those of runs."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(block, 1) - 2**63
+
+
+def _repeated(parsed: list[list[tuple[str, int]]], run: int, least: int, known: np.ndarray | None = None) -> set[str]:
+    """Article blocks of at least ``run`` words that stand whole in ``least`` distinct pages, or that are ``known`` to.
+
+    Pages whose blocks are equal count as one.
+    """
     pages: Counter = Counter()
     for b in {tuple(b): b for b in parsed}.values():
         pages.update({t for t, s in b if s == 2 and t.count(" ") + 1 >= run})
-    return {t for t, n in pages.items() if n >= least}
+    elsewhere = set() if known is None else set(known.tolist())
+    return {t for t, n in pages.items() if n >= least or (elsewhere and block_hash(t) in elsewhere)}
 
 
-def _group(pages: list[str], run: int, least: int) -> list[tuple[str, int]]:
+def _group_keys(pages: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, kinds) of the runs and article blocks of pages: a kind is a hash of what must differ in distinct pages."""
+    import xxhash
+
+    hashes = WordHashes()
+    parsed = [blocks(p) for p in pages]
+    out: list[np.ndarray] = []
+    kinds: list[np.ndarray] = []
+    for b, stream in zip(parsed, _streams(parsed)):
+        runs = np.unique(run_hashes(stream, run, hashes))
+        whole = np.array(sorted({block_hash(t) for t, s in b if s == 2 and t.count(" ") + 1 >= run}), np.int64)
+        for got, of in ((runs, " ".join(stream)), (whole, repr(b))):
+            out.append(got)
+            kinds.append(np.full(len(got), xxhash.xxh3_64_intdigest(of.encode("utf-8", "surrogatepass")) - 2**63, np.int64))
+    return (np.concatenate(out), np.concatenate(kinds)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _group(pages: list[str], run: int, least: int, known: np.ndarray | None = None) -> list[tuple[str, int]]:
     parsed = [blocks(p) for p in pages]
-    copied = _repeated(parsed, run, least)
+    copied = _repeated(parsed, run, least, known)
     out = []
-    for b, mark in zip(parsed, covered(_streams(parsed), run, least)):
+    for b, mark in zip(parsed, covered(_streams(parsed), run, least, known)):
         size = sum(t.count(" ") + 1 for t, s in b if s == 2)
         again = sum(t.count(" ") + 1 for t, s in b if s == 2 and t in copied)
         # An article that is mostly repeated is a copy, not boilerplate.
@@ -229,14 +274,34 @@ def main_text(pages: DataFrame, run: int = RUN, least: int = PAGES, group: int =
     """
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    large = pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group)
-    dealt = rows.join(large, "host", "left").withColumn("bucket", F.pmod(F.xxhash64("page_id", "url"), F.coalesce(F.ceil(F.col("n") / group), F.lit(1))).cast("int")).drop("n")
+    large = written(pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group))
+    dealt = rows.join(large, "host", "left").withColumn("bucket", F.pmod(F.xxhash64("page_id", "url"), F.coalesce(F.ceil(F.col("n") / group), F.lit(1))).cast("int"))
     schema = "page_id long, url string, text string, n_chars long, n_removed long"
 
-    def one(t: pa.Table) -> pa.Table:
-        got = _group(t["html"].to_pylist(), run, least)
+    def result(t: pa.Table, known: np.ndarray | None) -> pa.Table:
+        got = _group(t["html"].to_pylist(), run, least, known)
         text = [g[0] for g in got]
         return pa.table({"page_id": t["page_id"], "url": t["url"].cast(pa.string()), "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64()), "n_removed": pa.array([g[1] for g in got], pa.int64())})
 
-    return dealt.groupBy("host", "bucket").applyInArrow(one, schema)
+    if not large.limit(1).count():
+        return dealt.drop("n").groupBy("host", "bucket").applyInArrow(lambda t: result(t, None), schema)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                got, kinds = _group_keys([b["html"][i].as_py()], run)
+                n = len(got)
+                yield pa.RecordBatch.from_arrays([pa.array([b["host"][i].as_py()] * n, pa.string()), pa.array([b["bucket"][i].as_py()] * n, pa.int32()), pa.array(got), pa.array(kinds)], ["host", "bucket", "h", "kind"])
+
+    # Of each group a key goes on once, with the smallest and largest kind of page: memory and rows are bounded by its text.
+    made = dealt.where("n is not null").select("host", "bucket", "html").mapInArrow(keys, "host string, bucket int, h long, kind long")
+    many = F.min("low") < F.max("high") if least == 2 else F.size(F.array_distinct(F.flatten(F.collect_set("few")))) >= least
+    few = F.slice(F.collect_set("kind"), 1, least) if least > 2 else F.lit(None).cast("array<long>")
+    held = written(made.groupBy("host", "h", "bucket").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), few.alias("few")))
+    shared = held.groupBy("host", "h").agg(many.alias("many"), F.count("*").alias("groups")).where("many and groups > 1" if least > 1 else "groups > 1")
+    told = held.select("host", "h", "bucket").join(shared.select("host", "h"), ["host", "h"]).select("host", "bucket", "h")
+
+    def one(t: pa.Table, known: pa.Table) -> pa.Table:
+        return result(t, np.sort(known["h"].to_numpy()) if len(known) else None)
 
+    return dealt.drop("n").groupBy("host", "bucket").cogroup(told.groupBy("host", "bucket")).applyInArrow(one, schema)

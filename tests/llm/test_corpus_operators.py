@@ -238,6 +238,22 @@ def test_html_repetition_decides_beside_and_in_articles():
     assert all(own("x") in t and own("y") in t for t, _ in html._group(copies, html.RUN, html.PAGES))
 
 
+def test_html_does_not_depend_on_the_size_of_groups(spark):
+    own = lambda k: " ".join(f"{k}w{i}" for i in range(12))
+    rows = []
+    for k in range(60):
+        pair = k // 2
+        box = f"<p>one block that pair {pair} of this host shares</p>"
+        inside = f"<article><p>{own(f'a{k}')}</p><p>{own(f'b{k}')}</p>{box}</article>" if k % 4 < 2 else f"<p>{own(f'c{k}')}</p>{box}"
+        rows.append((k, f"http://big.com/{k}", inside))
+    rows += [(100, "http://big.com/100", rows[0][2]), (101, "http://small.com/", "<p>only page</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = sorted(map(tuple, html.main_text(df).collect()))
+    assert all("shares" not in r[2] for r in whole)
+    assert sorted(map(tuple, html.main_text(df, group=5).collect())) == whole
+    assert sorted(map(tuple, html.main_text(df, least=3, group=5).collect())) == sorted(map(tuple, html.main_text(df, least=3).collect()))
+
+
 def test_suffix_classes_are_equal_beginnings():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 200)

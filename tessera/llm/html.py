@@ -46,11 +46,29 @@ MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|cookies?|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|social|related|recommended|comments?|replies|reply|disqus|widget|toolbar|search|complementary|contentinfo)(?:$|[\s_-])",
     re.I,
 )
+#: Elements whose class or role may mark them inside an article, and words that may go with a mark there.
+CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "header", "figure", "details", "span"}
+WITH_MARK = re.compile(r"(?:area|bar|block|box|btns?|buttons?|container|content|form|group|inner|item|items|links?|list|main|module|outer|panel|posts?|articles?|stor(?:y|ies)|section|slot|text|top|bottom|left|right|thread|title|unit|wrap|wrapper|\d+)$", re.I)
 _HEADERS = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?:$|[\s_-])", re.I)
 _PART = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+def _marked_inside(value: str) -> bool:
+    """Whether one of the names in a class or role says nothing but that its element is aside ("share-buttons", not "share-price")."""
+    for name in value.split():
+        marks = 0
+        for word in re.split(r"[_-]+", name):
+            if word and MARKS.search(word):
+                marks += 1
+            elif word and not WITH_MARK.match(word):
+                break
+        else:
+            if marks:
+                return True
+    return False
+
+
 def _aside(tag: str, attrs: str, inside: bool) -> bool:
     if tag in ASIDE or (tag == "header" and not inside):
         return True
@@ -60,7 +78,10 @@ def _aside(tag: str, attrs: str, inside: bool) -> bool:
         value = a or b or c
         if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value.lower() == "true"):
             return True
-        if MARKS.search(value) or (not inside and _HEADERS.search(value)):
+        if inside:
+            if name.lower() in ("class", "role") and tag in CONTAINERS and _marked_inside(value):
+                return True
+        elif MARKS.search(value) or _HEADERS.search(value):
             return True
     return False
 

@@ -254,6 +254,13 @@ def test_html_does_not_depend_on_the_size_of_groups(spark):
     assert sorted(map(tuple, html.main_text(df, least=3, group=5).collect())) == sorted(map(tuple, html.main_text(df, least=3).collect()))
 
 
+def test_html_names_inside_articles():
+    kept = '<h2 id="related-work">A</h2><section id="search-methods">B</section><p id="social-effects">C</p><div class="share-price-table">D</div><h3 id="notice-period">E</h3><p class="comment">F</p>'
+    gone = '<div class="share-buttons">S</div><section class="related-posts">R</section><div class="x comments">M</div><div class="ad">N</div><div role="search">Q</div>'
+    assert html.blocks(f"<article>{kept}{gone}</article>") == [(t, 2) for t in "ABCDEF"] + [(t, 0) for t in "SRMNQ"]
+    assert html.blocks('<div id="cookie-notice">S</div>') == [("S", 0)]
+
+
 def test_suffix_classes_are_equal_beginnings():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 200)

@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from tessera.llm.common import Remembered, map_texts, partitions, written
 
 CAPACITY = 2048
 END = 0
+#: Parts of words that a task remembers with their ids, at most (some 200 bytes each).
+PARTS = 800_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
@@ -73,6 +77,78 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return segments
 
 
+def word_ids(path: str) -> Callable[[str], bytes]:
+    """A function that gives the ids of a whole text as little-endian unsigned 32-bit numbers, as the tokenizer at that path would.
+
+    Characters below U+0300 are their own NFC form and have no lower case that
+    depends on their place: text of such is lower-cased and cut here by the
+    tokenizer's own pattern, and the parts are merged by the tokenizer's model
+    and remembered. White space is dropped by this tokenizer and ends a part, so
+    in other texts each word that holds a character beyond goes through the whole
+    tokenizer. Texts with odd white space, and other tokenizers' ones, do so as a whole.
+    """
+    import json
+    import os
+    import re
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    with open(path, encoding="utf-8") as f:
+        parts = _parts_of(json.load(f))
+    tokenize = t.model.tokenize
+    # Byte-level: bytes that aren't printable in Latin-1 stand as characters from U+0100 on, in their order.
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    shown = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+    def encode(text: str) -> bytes:
+        return array("I", t.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def part_ids(part: str) -> bytes:
+        if not (part.isascii() and part.isprintable()):
+            part = part.encode().decode("latin-1").translate(shown)
+        return array("I", [x.id for x in tokenize(part)]).tobytes()
+
+    beyond, odd = re.compile("[\u0300-\U0010ffff]").search, re.compile("[\x1c-\x1f\x85]").search
+    remembered, whole = Remembered(part_ids, PARTS), Remembered(encode)
+
+    def near(text: str) -> bytes:
+        return b"".join(map(remembered.__getitem__, parts(text.lower())))
+
+    def ids_of(text: str) -> bytes:
+        remembered.turn()
+        whole.turn()
+        text = text.encode("utf-8", "replace").decode()
+        if parts is None or odd(text):
+            return encode(text)
+        if not beyond(text):
+            return near(text)
+        return b"".join(whole[w] if beyond(w) else near(w) for w in text.split())
+
+    return ids_of
+
+
+def _parts_of(made: dict) -> Callable[[str], list[str]] | None:
+    """The cutter of lower-case text below U+0300 of a tokenizer's file, if it is of the form that ``word_ids`` knows; else None."""
+    import re
+
+    import regex
+
+    norm = (made.get("normalizer") or {}).get("normalizers") or []
+    cut = (made.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    known = [n.get("type") for n in norm] == ["NFC", "Replace", "Lowercase"] and [c.get("type") for c in cut] == ["Split", "ByteLevel"]
+    if not known or cut[0].get("behavior") != "Removed" or not cut[0].get("invert") or cut[1].get("add_prefix_space") or cut[1].get("use_regex"):
+        return None
+    pattern = cut[0]["pattern"]["Regex"]
+    for kind in ("L", "N"):
+        members = "".join(c for c in map(chr, range(0x300)) if regex.match(rf"\p{{{kind}}}", c))
+        pattern = pattern.replace(rf"\p{{{kind}}}", members)
+    # What the pattern says of other properties has no such form.
+    return None if "\\p" in pattern or "\\P" in pattern else re.compile(pattern).findall
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Token pieces of each row's whole text: doc_id, row, piece, start, length, ids_crc32 (and ids).
 
@@ -82,33 +158,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     """
 
     def make():
-        import os
-        import re
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
-
-        def encode(text: str) -> bytes:
-            ids = t.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-
-        known = Remembered(encode)
-        odd = re.compile("[\x1c-\x1f\x85]").search
-        end = struct.pack("<I", END)
-
-        def ids_of(text: str) -> bytes:
-            known.turn()
-            text = text.encode("utf-8", "replace").decode()
-            # White space is dropped and ends a word, so words between it are encoded apart and remembered.
-            return (encode(text) if odd(text) else b"".join(map(known.__getitem__, text.split()))) + end
+        ids_of = word_ids(tokenizer)
 
         def batch(texts: list[str]) -> dict:
             out = []
             for text in texts:
-                raw = ids_of(text)
+                raw = ids_of(text) + struct.pack("<I", END)
                 cut = [raw[i : i + 4 * capacity] for i in range(0, len(raw), 4 * capacity)]
                 out.append([{"piece": i, "start": i * capacity, "length": len(c) // 4, "ids_crc32": zlib.crc32(c), **({"ids": list(struct.unpack(f"<{len(c) // 4}I", c))} if keep_ids else {})} for i, c in enumerate(cut)])
             return {"pieces": out}

@@ -75,3 +75,22 @@ def test_pieces_are_the_tokenizers(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.packed(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))).count() == 0
+
+
+def test_word_ids_equal_the_tokenizer_on_odd_texts():
+    import random
+    import struct
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    ids_of = packing.word_ids(path)
+    rng = random.Random(1)
+    letters = "abcXYZ 'sStTrvemld  .,!?&%12 34ÀÉéßİıŸſɐʰ̀Σσ ­²½ª\xa0\x00\x01\x7f\x80\x85\x9f˿ͅ中\n\t\x1c "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(5000)] + ["", "<|endoftext|> <|startoftext|>", "it's we've I'll"]
+    for text in texts:
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert ids_of(text) == struct.pack(f"<{len(ids)}I", *ids), text

@@ -72,44 +72,65 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(texts: list, limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with at most ``limit`` characters each, or one row."""
+def slices(lengths: list[int], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most ``limit`` in length together, or one row."""
     start = total = 0
-    for i, t in enumerate(texts):
-        n = len(t)
+    for i, n in enumerate(lengths):
         if i > start and total + n > limit:
             yield start, i
             start, total = i, 0
         total += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(lengths):
+        yield start, len(lengths)
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    return [t or "" for t in batch.column(name).to_pylist()]
+def text_slices(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """(first, end, texts) for slices of a column of bounded size: only one slice's texts are Python strings at a time."""
+    import pyarrow.compute as pc
+
+    for lo, hi in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        yield lo, hi, [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
+
+
+def freed(run: Callable) -> Callable:
+    """``run`` (batches -> batches) that gives memory back to the system at its end: Python workers live on for other tasks."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return wrapped
 
 
 def map_texts(df: DataFrame, ids: list[str], schema: str, make: Callable, text: str = "text") -> DataFrame:
     """``make()`` gives, once per task, a function (texts) -> dict of columns; ids are carried along.
 
-    Rows are handed over in slices of bounded size, in order, one output row per row.
+    Rows are handed over in slices of bounded size, in order, one output row per
+    row. The text may itself be one of the ids: it is sent once then.
     """
-    want = df.select(*[F.col(f"`{c}`") for c in ids], F.col(f"`{text}`").cast("string").alias("__text"))
-    fields = ", ".join(f"`{n}` {t}" for n, t in want.dtypes[:-1])
+    own = text in ids and dict(df.dtypes)[text] == "string"
+    want = df.select(*[F.col(f"`{c}`") for c in ids], *([] if own else [F.col(f"`{text}`").cast("string").alias("__text")]))
+    fields = ", ".join(f"`{n}` {t}" for n, t in (want.dtypes if own else want.dtypes[:-1]))
     full = f"{fields}, {schema}" if fields else schema
     arrow = _arrow_schema(df.sparkSession, full)
+    at = ids.index(text) if own else len(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:
-            texts = texts_of(b, "__text")
-            for lo, hi in slices(texts):
-                out = f(texts[lo:hi])
+            for lo, hi, texts in text_slices(b.column(at)):
+                out = f(texts)
                 cols = [b.column(i).slice(lo, hi - lo) for i in range(len(ids))]
                 cols += [v if isinstance(v := out[n], pa.Array) else pa.array(v, arrow.field(n).type, from_pandas=False) for n in arrow.names[len(ids):]]
                 yield pa.RecordBatch.from_arrays([c.cast(t) if c.type != t else c for c, t in zip(cols, arrow.types)], schema=arrow)
 
-    return want.mapInArrow(run, full)
+    return want.mapInArrow(freed(run), full)
 
 
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
@@ -170,14 +191,23 @@ _ODD = 0x9E3779B97F4A7C15
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of each k consecutive words; one hash of all where there are fewer, none of no words."""
-    if len(h) == 0:
+    n = len(h)
+    if not n:
         return h
-    k = min(k, len(h))
-    out = np.zeros(len(h) - k + 1, np.uint64)
+    k = min(k, n)
+    odd = np.uint64(_ODD)
+    # Runs of 1, 2, 4, ... words are hashed from halves; those of k's binary digits are put together.
+    level, size, out, have = mix(h), 1, None, 0
     with np.errstate(over="ignore"):
-        for j in range(k):
-            out = mix(out * np.uint64(_ODD) + h[j : len(h) - k + 1 + j])
-    return out
+        while True:
+            if k & size:
+                m = n - have - size + 1
+                out = level[:m] if out is None else mix(out[:m] * odd + level[have : have + m])
+                have += size
+            if 2 * size > k:
+                return out
+            level = mix(level[:-size] * odd + level[size:])
+            size *= 2
 
 
 def words_of(text: str) -> list[str]:

@@ -25,7 +25,7 @@ from tessera.llm.common import Remembered, map_texts, partitions, written
 CAPACITY = 2048
 END = 0
 #: Parts of words that a task remembers with their ids, at most (some 200 bytes each).
-PARTS = 800_000
+PARTS = 600_000
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

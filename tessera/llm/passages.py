@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, joined, map_texts, mix, slices, texts_of, windows, words_of, written
+from tessera.llm.common import WordHashes, freed, joined, map_texts, mix, text_slices, windows, words_of, written
 
 K, WINDOW = 8, 16
 #: Words of a passage at least, of one chain at least, and the share of them that agrees.
@@ -40,9 +40,22 @@ def minimizers(h: np.ndarray, k: int = K, w: int = WINDOW) -> np.ndarray:
     g = mix(windows(h, k)) if len(h) >= k else np.empty(0, np.uint64)
     if not len(g):
         return np.empty(0, np.int64)
+    # The leftmost of equal k-mers is the smallest: places stand in the low bits.
+    g = g & ~np.uint64(0xFFFFF) | (np.arange(len(g)) & 0xFFFFF).astype(np.uint64)
     w = min(w, len(g))
-    view = np.lib.stride_tricks.sliding_window_view(g, w)
-    return np.unique(np.arange(len(view)) + view.argmin(1))
+    least = _sliding(g, w, np.minimum)
+    # A k-mer is the smallest of a window if and only if the greatest minimum of the windows around it is its own.
+    edge = np.zeros(w - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), w, np.maximum) == g)
+
+
+def _sliding(x: np.ndarray, w: int, best: np.ufunc) -> np.ndarray:
+    """The best of each w consecutive values, by overlapping halves."""
+    size = 1
+    while 2 * size <= w:
+        x = best(x[:-size], x[size:])
+        size *= 2
+    return best(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
 def chain(x: np.ndarray, y: np.ndarray, k: int = K) -> list[list[tuple[int, int, int]]]:
@@ -95,20 +108,31 @@ def _scores(anchors: list[tuple[int, int, int]]) -> tuple[list[float], list[int
         while at:
             top = max(top, tree[at])
             at -= at & -at
+        if top[1] >= 0 and not _near(anchors[top[1]], x, y):
+            # The best of all lies too far: the best of those that ended not long ago, at most as many as the largest gap has words.
+            top, k = (float("-inf"), -1), w
+            while k and (a := anchors[j := waiting[k - 1]])[0] + a[2] >= x - GAP_MOST:
+                if a[1] + a[2] <= y and _near(a, x, y):
+                    top = max(top, (score[j] + GAP_COST * (a[0] + a[1] + 2 * a[2]), j))
+                k -= 1
         score[i] = size
-        if top[1] >= 0:
-            px, py, ps = anchors[top[1]]
-            gained = top[0] - GAP_COST * (x + y)
-            if gained > 0 and max(x - px - ps, y - py - ps) <= GAP_MOST:
-                score[i] += gained
-                back[i] = top[1]
+        gained = top[0] - GAP_COST * (x + y)
+        if top[1] >= 0 and gained > 0:
+            score[i] += gained
+            back[i] = top[1]
     return score, back
 
 
+def _near(a: tuple[int, int, int], x: int, y: int) -> bool:
+    return max(x - a[0], y - a[1]) - a[2] <= GAP_MOST
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Words that two short runs have in common, in order (longest common subsequence)."""
     if not len(a) or not len(b):
         return 0
+    if len(a) == 1 or len(b) == 1:
+        return int((a == b).any())
     row = np.zeros(len(b) + 1, np.int64)
     for v in a:
         hit = np.r_[0, row[:-1] + (b == v)]
@@ -116,26 +140,33 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _grow(a: np.ndarray, b: np.ndarray) -> int:
-    """How many places from the start two runs go together, mismatches allowed, before the loss exceeds ``DROP``."""
+def _grow(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """How many places from the start two runs go together, mismatches allowed, before the loss exceeds ``DROP``, and how many of them agree."""
     n = min(len(a), len(b))
-    if not n:
-        return 0
-    s = np.cumsum(np.where(a[:n] == b[:n], 1, -2))
-    dropped = np.flatnonzero(np.maximum.accumulate(np.maximum(s, 0)) - s > DROP)
-    s = s[: dropped[0]] if len(dropped) else s
-    best = int(s.argmax()) if len(s) else 0
-    return best + 1 if len(s) and s[best] > 0 else 0
+    same = (a[:n] == b[:n]).tobytes()
+    if same.count(1) == n:
+        return n, n
+    score = best = at = 0
+    for i, agrees in enumerate(same, 1):
+        if agrees:
+            score += 1
+            if score > best:
+                best, at = score, i
+        else:
+            score -= 2
+            if best - score > DROP:
+                break
+    return at, same.count(1, 0, at)
 
 
 def align(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
     """(start, end, other start, other end, agreeing words) of a chain in word hashes a and b, grown at both ends."""
     (x0, y0, _), (x1, y1, s1) = anchors[0], anchors[-1]
-    left = _grow(a[:x0][::-1], b[:y0][::-1])
-    right = _grow(a[x1 + s1 :], b[y1 + s1 :])
-    same = int((a[x0 - left : x0] == b[y0 - left : y0]).sum()) + int((a[x1 + s1 : x1 + s1 + right] == b[y1 + s1 : y1 + s1 + right]).sum())
+    left, same = _grow(a[:x0][::-1], b[:y0][::-1])
+    right, more = _grow(a[x1 + s1 :], b[y1 + s1 :])
+    same += more
     for i, (x, y, s) in enumerate(anchors):
-        same += int((a[x : x + s] == b[y : y + s]).sum())
+        same += np.count_nonzero(a[x : x + s] == b[y : y + s])
         if i:
             px, py, ps = anchors[i - 1]
             same += common(a[px + ps : x], b[py + ps : y])
@@ -212,17 +243,28 @@ def parts(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int, int]], lea
     return out
 
 
+def contested(docs: DataFrame) -> DataFrame:
+    """(doc_id, th): the ids that rows with different texts share, with the hash of the text that takes part, the smallest one."""
+    return written(docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")).groupBy("doc_id").agg(F.min("th").alias("th"), F.max("th").alias("top")).where("th < top").select("doc_id", "th"))
+
+
+def _one_text(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, text and __in: whether the text takes part."""
+    both = joined(docs, shared.select(F.col("doc_id").alias("__id"), F.col("th").alias("__only")), F.col("doc_id").cast("long") == F.col("__id"), "left")
+    return both.withColumn("__in", F.col("__only").isNull() | (F.col("__only") == F.xxhash64("text"))).drop("__id", "__only")
+
+
 def seeds(docs: DataFrame) -> DataFrame:
     """(seed, doc_id, at, first): the minimizers of each whole text; ``first`` marks a seed's first place in its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            texts, ids = texts_of(b), b["doc_id"].to_numpy()
-            for lo, hi in slices(texts):
+            ids = b["doc_id"].to_numpy()
+            for lo, _, texts in text_slices(b["text"]):
                 got: list[list[np.ndarray]] = [[], [], [], []]
-                for i in range(lo, hi):
-                    h = hashes.of(words_of(texts[i]))
+                for i, text in enumerate(texts, lo):
+                    h = hashes.of(words_of(text))
                     at = minimizers(h)
                     seed = windows(h, K)[at] if len(at) else np.empty(0, np.uint64)
                     first = np.zeros(len(at), bool)
@@ -231,14 +273,16 @@ def seeds(docs: DataFrame) -> DataFrame:
                         g.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g)) for g in got], ["seed", "doc_id", "at", "first"])
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "seed long, doc_id long, at int, first boolean")
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(freed(run), "seed long, doc_id long, at int, first boolean")
 
 
 def chains(docs: DataFrame) -> DataFrame:
     """(doc_id, other_id, anchors): chains of each text with earlier ones. Only rows of one document are held at a time."""
     s = written(seeds(docs))  # read twice; as a plan it would be made twice
     heads = s.groupBy("seed").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("top"), F.min_by("at", F.expr("CASE WHEN first THEN doc_id END")).alias("other_at")).where("other_id < top")
-    matches = s.select("seed", "doc_id", "at").join(heads.select("seed", "other_id", "other_at"), "seed").where("doc_id <> other_id")
+    # Stored, so that a seed that very many texts hold is a skewed side of a plain join, which can be split.
+    heads = written(heads.select("seed", "other_id", "other_at"))
+    matches = joined(s.select("seed", "doc_id", "at"), heads, "seed", "inner").where("doc_id <> other_id")
     dealt = matches.select("doc_id", "other_id", "at", "other_at").repartition("doc_id").sortWithinPartitions("doc_id", "other_id", "at", "other_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +320,7 @@ def chains(docs: DataFrame) -> DataFrame:
         if held:
             yield from close()
 
-    return dealt.mapInArrow(run, "doc_id long, other_id long, anchors array<int>")
+    return dealt.mapInArrow(freed(run), "doc_id long, other_id long, anchors array<int>")
 
 
 def aligned(docs: DataFrame, found: DataFrame, least: int = CHAIN, identity: float = IDENTITY) -> DataFrame:
@@ -291,9 +335,10 @@ def aligned(docs: DataFrame, found: DataFrame, least: int = CHAIN, identity: flo
     )
     wanted = written(asks.select(F.col("of").alias("doc_id")).distinct())
     texts = joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), wanted, "doc_id", "left_semi")
-    # A document's asks come together, so many to a row: its text is moved once for each such row, not for each ask.
-    part = F.floor((F.row_number().over(Window.partitionBy("of").orderBy("id", "side")) - 1) / ASKS)
-    lists = asks.withColumn("part", part).groupBy("of", "part").agg(F.collect_list(F.struct("id", "side", "lo", "hi")).alias("asks"))
+    # A document's asks come together, about so many to a row: its text is moved once for each such row, not for each ask.
+    n = asks.groupBy("of").agg(F.ceil(F.count("*") / ASKS).alias("n")).where("n > 1")
+    part = F.pmod(F.xxhash64("id", "side"), F.coalesce("n", F.lit(1)))
+    lists = joined(asks, written(n), "of", "left").withColumn("part", part).groupBy("of", "part").agg(F.collect_list(F.struct("id", "side", "lo", "hi")).alias("asks"))
     cuts = texts.withColumnRenamed("doc_id", "of").join(lists, "of").select("asks", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +360,7 @@ def aligned(docs: DataFrame, found: DataFrame, least: int = CHAIN, identity: flo
         if out:
             yield made_so_far()
 
-    made = cuts.mapInArrow(cut, "id long, side int, lo int, words binary")
+    made = cuts.mapInArrow(freed(cut), "id long, side int, lo int, words binary")
     stored = written(made)
     one = stored.where("side = 0").select("id", F.col("lo").alias("la"), F.col("words").alias("wa")).dropDuplicates(["id"])
     two = stored.where("side = 1").select("id", F.col("lo").alias("lb"), F.col("words").alias("wb")).dropDuplicates(["id"])
@@ -336,7 +381,7 @@ def aligned(docs: DataFrame, found: DataFrame, least: int = CHAIN, identity: flo
                 ["doc_id", "other_id", "start", "end", "other_start", "other_end", "n_same", "identity"],
             )
 
-    return pairs.mapInArrow(run, "doc_id long, other_id long, start int, end int, other_start int, other_end int, n_same int, identity double")
+    return pairs.mapInArrow(freed(run), "doc_id long, other_id long, start int, end int, other_start int, other_end int, n_same int, identity double")
 
 
 def passages(docs: DataFrame, words: int = PASSAGE, least: int = CHAIN, identity: float = IDENTITY) -> DataFrame:
@@ -347,8 +392,13 @@ def passages(docs: DataFrame, words: int = PASSAGE, least: int = CHAIN, identity
     together, which has at least ``words`` words. Words are split at white space
     and compared in lower case. The earliest document (smallest doc_id) of a
     passage is the other of the later ones. Rows without doc_id or text take no
-    part; of rows that repeat a doc_id with different texts one is aligned.
+    part; of rows that repeat a doc_id with different texts that of the smallest
+    hash takes part; repeated rows count once. An empty table gives none.
     """
+    docs = docs.select("doc_id", "text")
+    shared = contested(docs)
+    if shared.limit(1).count():
+        docs = _one_text(docs, shared).where("__in").select("doc_id", "text")
     good = aligned(docs, chains(docs), least, identity).where((F.col("identity") >= identity) & (F.col("end") - F.col("start") >= least))
     w = Window.partitionBy("doc_id").orderBy("start", "end", "other_id", "other_start")
     before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -361,12 +411,16 @@ def passages(docs: DataFrame, words: int = PASSAGE, least: int = CHAIN, identity
 def repeated_removed(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from the later documents; a text that loses all its words goes as a row.
 
-    n_chars, if there is one, is set to the new length. Rows without doc_id stay as they are.
+    n_chars, if there is one, is set to the new length. Rows without doc_id or
+    text stay as they are, as do texts that don't take part (see ``passages``).
     """
     spans = passages(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("run_start", "run_end"))).alias("__spans"))
     spans = written(spans)
     columns = docs.columns
-    both = joined(docs, spans, "doc_id", "left")
+    shared = contested(docs)
+    both = joined(docs, spans.withColumnRenamed("doc_id", "__of"), F.col("doc_id").cast("long") == F.col("__of"), "left")
+    if shared.limit(1).count():
+        both = _one_text(both, shared).withColumn("__spans", F.when(F.col("__in"), F.col("__spans")))
     names = [c for c in columns if c != "text"]
     packed = both.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "text", "__spans")
 
@@ -395,7 +449,7 @@ def repeated_removed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b["__row"], pa.array(out, pa.string()), gone], ["__row", "text", "gone"])
 
     row = packed.schema["__row"].dataType.simpleString()
-    cut = packed.mapInArrow(run, f"__row {row}, text string, gone boolean").where("not gone")
+    cut = packed.mapInArrow(freed(run), f"__row {row}, text string, gone boolean").where("not gone")
     made = cut.select("__row.*", "text")
     if "n_chars" in columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tessera.llm import html, lines, minhash, neighbours, passages
 
@@ -309,3 +310,40 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/s{k}")
         at = spark.read.parquet(f"{tmp_path}/s{k}")
     assert at.count() == c.run(spark, str(tmp_path)).count() > 0
+
+
+def test_chain_scores_equal_those_of_comparing_all():
+    import random
+
+    from tessera.llm import passages as P
+
+    def slow(anchors):
+        score = []
+        for i, (x, y, n) in enumerate(anchors):
+            before = [score[j] + P.GAP_COST * (u + v + 2 * m - x - y) for j, (u, v, m) in enumerate(anchors[:i]) if u + m <= x and v + m <= y and max(x - u - m, y - v - m) <= P.GAP_MOST]
+            score.append(n + max([0, *before]))
+        return score
+
+    rng = random.Random(5)
+    cases = [[(0, 0, 504), *[(654 + 12 * i, 654 + 12 * i, 8) for i in range(4)]]]
+    cases += [sorted({(rng.randrange(900), rng.randrange(900), rng.choice([8, 20, 90])) for _ in range(rng.randrange(1, 40))}) for _ in range(200)]
+    for anchors in cases:
+        assert P._scores(anchors)[0] == pytest.approx(slow(anchors))
+
+
+def test_minimizers_are_those_of_all_windows():
+    import random
+
+    from tessera.llm import passages as P
+
+    rng = random.Random(3)
+    for n in (0, 5, 8, 9, 23, 24, 300):
+        h = np.array([rng.randrange(1, 30) for _ in range(n)], np.uint64)
+        got = P.minimizers(h)
+        if n < P.K:
+            assert not len(got)
+            continue
+        g = P.mix(P.windows(h, P.K))
+        g = g & ~np.uint64(0xFFFFF) | np.arange(len(g)).astype(np.uint64)
+        w = min(P.WINDOW, len(g))
+        assert got.tolist() == sorted({i + int(g[i : i + w].argmin()) for i in range(len(g) - w + 1)})

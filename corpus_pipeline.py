@@ -17,8 +17,10 @@ from tessera.llm.common import table, written
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pairwise ranker rejects go."""
     ranker = quality.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text")
-    return quality.scored(rows, ranker, ["__row", "doc_id"]).where("predicted = 1").select("__row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    scored = quality.scored(docs.select(row.alias("__row"), "doc_id", "text"), ranker, ["__row", "doc_id", "text"])
+    every = scored.where("predicted = 1").select("__row.*", "text")
+    return every.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, windows, written
+from tessera.llm.common import WordHashes, freed, joined, text_slices, windows, written
 
 #: Pages of one host that are sorted together, about.
 GROUP = 256
@@ -157,61 +156,97 @@ def blocks(page: str) -> list[tuple[str, int]]:
     return out
 
 
-def suffix_order(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first ``depth`` tokens or more, and each suffix's class of equal beginnings, by prefix doubling."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    h, n = 1, len(tokens)
-    while h < depth:
-        step = min(h, depth - h)  # overlapping halves give exactly `depth`
-        after = np.full(n, -1, np.int64)
-        after[: n - step] = rank[step:]
-        pair = rank * (n + 2) + after + 1
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        h += step
-    return np.argsort(rank, kind="stable"), rank
-
-
-def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES, known: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each stream, which words lie in a run of at least ``run`` words that ``pages`` distinct streams share.
-
-    Streams that are equal count as one page. ``known`` are sorted hashes of
-    runs (as ``run_hashes`` gives them) that distinct streams elsewhere share.
+def suffix_ranks(tokens: np.ndarray, depths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(depth, rank of each suffix among all by its first ``depth`` tokens) for ascending depths, by prefix doubling."""
+    rank, at, n = np.unique(tokens, return_inverse=True)[1].astype(np.int64), 1, len(tokens)
+    for depth in depths:
+        while at < depth:
+            step = min(at, depth - at)  # overlapping halves give exactly `depth`
+            after = np.full(n, -1, np.int64)
+            after[: n - step] = rank[step:]
+            rank = np.unique(rank * (n + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
+            at += step
+        yield depth, rank
+
+
+def _distinct(keys: np.ndarray, pages: np.ndarray) -> np.ndarray:
+    """For each key, how many distinct pages have it."""
+    kind = np.unique(keys, return_inverse=True)[1]
+    pairs = np.unique(kind * (int(pages.max(initial=0)) + 1) + pages)
+    return np.bincount(pairs // (int(pages.max(initial=0)) + 1), minlength=int(kind.max(initial=-1)) + 1)[kind]
+
+
+def covered(parsed: list[list[tuple[str, int]]], run: int = RUN, pages: int = PAGES, known: np.ndarray | None = None) -> list[list[tuple[int, bool]]]:
+    """For each block of each page: its words that lie in repeated runs, and whether it stands whole in several pages.
+
+    All text of the pages is one stream whose suffixes are ranked by prefix
+    doubling. Outside articles a run of at least ``run`` words that stands there
+    in ``pages`` distinct pages is repeated. A block of an article of at least
+    ``run`` words is repeated if the same words between the same ends begin
+    suffixes of ``pages`` distinct pages: two ranks, of its first and its last
+    2^k words, tell. Pages whose blocks are all equal count as one. ``known`` are
+    sorted hashes of runs and blocks that distinct pages elsewhere share.
     """
     kinds: dict[tuple, int] = {}
-    same = [kinds.setdefault(tuple(s), len(kinds)) for s in streams]
-    first = {k: i for i, k in reversed(list(enumerate(same)))}
+    same = [kinds.setdefault(tuple(b), len(kinds)) for b in parsed]
     ids: dict[str, int] = {}
-    flat: list[int] = []
-    owner: list[int] = []
-    for k, i in sorted(first.items()):
-        flat += [ids.setdefault(w, len(ids)) for w in streams[i]]
+    flat: list[int] = [0]  # 0 ends a block
+    # Of each block: its page, the place of the end before it, its words, its scope.
+    rows: list[tuple[int, int, int, int]] = []
+    for b, k in kinds.items():
+        for text, scope in b:
+            words = text.split()
+            rows.append((k, len(flat) - 1, len(words), scope))
+            flat += [ids.setdefault(w, len(ids) + 1) for w in words]
+            flat.append(0)
         flat.append(-1 - k)  # ends a page; equal to nothing
-        owner += [k] * (len(streams[i]) + 1)
-    tokens, page = np.array(flat, np.int64), np.array(owner, np.int64)
-    mark = np.zeros(len(tokens), bool)
-    if len(tokens):
-        order, rank = suffix_order(tokens, run)
-        # In a class of equal beginnings, the distinct pages: suffixes of a class stand in order of place, so of page.
-        r, p = rank[order], page[order]
-        new = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])]
-        of_class = np.bincount(r, weights=new)
-        starts = np.flatnonzero(of_class[rank] >= pages)
-        edge = np.zeros(len(tokens) + 1, np.int64)
+        flat.append(0)
+    tokens = np.array(flat, np.int64)
+    of, at, size, scope = np.array(rows or [(0, 0, 0, 0)], np.int64).T
+    inside = (scope == 2) & (size >= run)
+    # Words of blocks outside articles, by block, and those of them that have a whole run of such words after them.
+    outer = np.flatnonzero(scope != 2)
+    word = np.concatenate([np.arange(at[i] + 1, at[i] + 1 + size[i]) for i in outer]) if len(outer) else np.empty(0, np.int64)
+    page = np.repeat(of[outer], size[outer])
+    block = np.repeat(outer, size[outer])
+    mark = np.zeros(len(word), bool)
+    whole = np.zeros(len(rows), bool)
+    # Runs go on over the ends of blocks: the words outside articles of a page are a stream of their own.
+    stream = np.concatenate([np.r_[tokens[word[page == k]], -1 - k] for k in np.unique(page)]) if len(word) else np.empty(0, np.int64)
+    owner = np.repeat(np.unique(page), np.bincount(page)[np.unique(page)] + 1) if len(word) else np.empty(0, np.int64)
+    real = stream >= 0
+    for _, rank in suffix_ranks(stream, [run] if len(stream) else []):
+        edge = np.zeros(len(stream) + 1, np.int64)
+        starts = np.flatnonzero(_distinct(rank, owner) >= pages)
         np.add.at(edge, starts, 1)
-        np.add.at(edge, np.minimum(starts + run, len(tokens)), -1)
-        mark = np.cumsum(edge[:-1]) > 0
-    bounds = np.searchsorted(page, np.arange(len(kinds) + 1))
+        np.add.at(edge, np.minimum(starts + run, len(stream)), -1)
+        mark = (np.cumsum(edge[:-1]) > 0)[real]
+    level = np.floor(np.log2(np.maximum(size + 2, 1))).astype(int)
+    levels = sorted({int(1 << v) for v in level[inside]})
+    for depth, rank in suffix_ranks(tokens, levels):
+        i = np.flatnonzero(inside & ((1 << level) == depth))
+        first, last = rank[at[i]], rank[at[i] + size[i] + 2 - depth]
+        key = np.unique(np.stack([first, last, size[i]]), axis=1, return_inverse=True)[1].ravel()
+        whole[i] |= _distinct(key, of[i]) >= pages
     if known is not None and len(known):
         hashes = WordHashes()
-        for k, i in first.items():
-            hit = np.flatnonzero(np.isin(run_hashes(streams[i], run, hashes), known))
+        every = list(kinds)
+        begin = np.searchsorted(page, np.arange(len(kinds)))
+        for k, b in enumerate(every):
+            hit = np.flatnonzero(np.isin(run_hashes(_stream(b), run, hashes), known))
             for j in range(run):
-                mark[bounds[k] + hit + j] = True
-    return [mark[bounds[k] : bounds[k + 1] - 1] for k in same]
+                mark[begin[k] + hit + j] = True
+        found = set(known.tolist())
+        for i in np.flatnonzero(inside & ~whole):
+            whole[i] = block_hash(every[of[i]][i - int(np.searchsorted(of, of[i]))][0]) in found
+    hits = np.bincount(block[mark], minlength=len(rows))
+    begin = np.searchsorted(of, np.arange(len(kinds))) if rows else np.zeros(len(kinds), int)
+    return [[(int(hits[begin[k] + j]), bool(whole[begin[k] + j])) for j in range(len(b))] for b, k in zip(parsed, same)]
 
 
-def _streams(parsed: list[list[tuple[str, int]]]) -> list[list[str]]:
-    return [[w for t, s in b if s != 2 for w in t.split()] for b in parsed]
+def _stream(blocks_: list[tuple[str, int]] | tuple[tuple[str, int], ...]) -> list[str]:
+    """The words outside articles."""
+    return [w for t, s in blocks_ if s != 2 for w in t.split()]
 
 
 def run_hashes(stream: list[str], run: int, hashes: WordHashes) -> np.ndarray:
@@ -226,55 +261,33 @@ def block_hash(block: str) -> int:
     return xxhash.xxh3_64_intdigest(block, 1) - 2**63
 
 
-def _repeated(parsed: list[list[tuple[str, int]]], run: int, least: int, known: np.ndarray | None = None) -> set[str]:
-    """Article blocks of at least ``run`` words that stand whole in ``least`` distinct pages, or that are ``known`` to.
+def _group_keys(parsed: list[tuple[str, int]], run: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, kinds) of the runs and article blocks of a page: a kind is a hash of what must differ in distinct pages."""
+    import xxhash
 
-    Pages whose blocks are equal count as one.
-    """
-    pages: Counter = Counter()
-    for b in {tuple(b): b for b in parsed}.values():
-        pages.update({t for t, s in b if s == 2 and t.count(" ") + 1 >= run})
-    elsewhere = set() if known is None else set(known.tolist())
-    return {t for t, n in pages.items() if n >= least or (elsewhere and block_hash(t) in elsewhere)}
+    stream = _stream(parsed)
+    runs = np.unique(run_hashes(stream, run, hashes))
+    whole = np.array(sorted({block_hash(t) for t, s in parsed if s == 2 and t.count(" ") + 1 >= run}), np.int64)
+    kind = xxhash.xxh3_64_intdigest(repr(parsed).encode("utf-8", "surrogatepass")) - 2**63
+    return np.concatenate([runs, whole]), np.full(len(runs) + len(whole), kind, np.int64)
 
 
-def _group_keys(pages: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, kinds) of the runs and article blocks of pages: a kind is a hash of what must differ in distinct pages."""
-    import xxhash
-
-    hashes = WordHashes()
-    parsed = [blocks(p) for p in pages]
-    out: list[np.ndarray] = []
-    kinds: list[np.ndarray] = []
-    for b, stream in zip(parsed, _streams(parsed)):
-        runs = np.unique(run_hashes(stream, run, hashes))
-        whole = np.array(sorted({block_hash(t) for t, s in b if s == 2 and t.count(" ") + 1 >= run}), np.int64)
-        for got, of in ((runs, " ".join(stream)), (whole, repr(b))):
-            out.append(got)
-            kinds.append(np.full(len(got), xxhash.xxh3_64_intdigest(of.encode("utf-8", "surrogatepass")) - 2**63, np.int64))
-    return (np.concatenate(out), np.concatenate(kinds)) if out else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-def _group(pages: list[str], run: int, least: int, known: np.ndarray | None = None) -> list[tuple[str, int]]:
-    parsed = [blocks(p) for p in pages]
-    copied = _repeated(parsed, run, least, known)
+def _group(parsed: list[list[tuple[str, int]]], run: int, least: int, known: np.ndarray | None = None) -> list[tuple[str, int]]:
     out = []
-    for b, mark in zip(parsed, covered(_streams(parsed), run, least, known)):
+    for b, found in zip(parsed, covered(parsed, run, least, known)):
         size = sum(t.count(" ") + 1 for t, s in b if s == 2)
-        again = sum(t.count(" ") + 1 for t, s in b if s == 2 and t in copied)
+        again = sum(t.count(" ") + 1 for (t, s), (_, whole) in zip(b, found) if s == 2 and whole)
         # An article that is mostly repeated is a copy, not boilerplate.
         copy = 2 * again > size
-        at, kept, removed, rest = 0, [], 0, []
-        for t, s in b:
+        kept, removed, rest = [], 0, []
+        for (t, s), (hit, whole) in zip(b, found):
             n = t.count(" ") + 1
             if s == 2:
-                if copy or t not in copied:
+                if copy or not whole:
                     kept.append(t)
                 else:
                     removed += n
                 continue
-            hit = int(mark[at : at + n].sum())
-            at += n
             if s == 1:
                 if not size:
                     rest.append(t)
@@ -296,33 +309,53 @@ def main_text(pages: DataFrame, run: int = RUN, least: int = PAGES, group: int =
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"))
     large = written(pages.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group))
-    dealt = rows.join(large, "host", "left").withColumn("bucket", F.pmod(F.xxhash64("page_id", "url"), F.coalesce(F.ceil(F.col("n") / group), F.lit(1))).cast("int"))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, texts in text_slices(b["html"]):
+                got = [blocks(t) for t in texts]
+                # A block holds no line break, so blocks are the lines of one text.
+                text = pa.array(["\n".join(t for t, _ in g) for g in got], pa.string())
+                scopes = pa.array([bytes(s for _, s in g) for g in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[b[c].slice(lo, hi - lo) for c in ("page_id", "url", "host")], text, scopes], ["page_id", "url", "host", "body", "scopes"])
+
+    # Only text is moved, never markup.
+    parsed = rows.mapInArrow(freed(parse), "page_id long, url string, host string, body string, scopes binary")
+    bucket = F.pmod(F.xxhash64("page_id", "url"), F.coalesce(F.ceil(F.col("n") / group), F.lit(1)))
+    # One key of its own for each group: pages are dealt by it, whatever the join dealt them by.
+    dealt = joined(parsed, large, "host", "left").withColumn("g", F.concat_ws("-", F.xxhash64("host"), bucket))
     schema = "page_id long, url string, text string, n_chars long, n_removed long"
 
+    def read(body: str, scopes: bytes) -> list[tuple[str, int]]:
+        return list(zip(body.split("\n"), scopes)) if scopes else []
+
     def result(t: pa.Table, known: np.ndarray | None) -> pa.Table:
-        got = _group(t["html"].to_pylist(), run, least, known)
+        got = _group(list(map(read, t["body"].to_pylist(), t["scopes"].to_pylist())), run, least, known)
         text = [g[0] for g in got]
         return pa.table({"page_id": t["page_id"], "url": t["url"].cast(pa.string()), "text": pa.array(text, pa.string()), "n_chars": pa.array(map(len, text), pa.int64()), "n_removed": pa.array([g[1] for g in got], pa.int64())})
 
+    columns = ["g", "page_id", "url", "body", "scopes"]
     if not large.limit(1).count():
-        return dealt.drop("n").groupBy("host", "bucket").applyInArrow(lambda t: result(t, None), schema)
+        return dealt.select(*columns).groupBy("g").applyInArrow(lambda t: result(t, None), schema)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
             for i in range(len(b)):
-                got, kinds = _group_keys([b["html"][i].as_py()], run)
+                got, kinds = _group_keys(read(b["body"][i].as_py(), b["scopes"][i].as_py()), run, hashes)
                 n = len(got)
-                yield pa.RecordBatch.from_arrays([pa.array([b["host"][i].as_py()] * n, pa.string()), pa.array([b["bucket"][i].as_py()] * n, pa.int32()), pa.array(got), pa.array(kinds)], ["host", "bucket", "h", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array([b["hh"][i].as_py()] * n, pa.int64()), pa.array([b["g"][i].as_py()] * n, pa.string()), pa.array(got), pa.array(kinds)], ["hh", "g", "h", "kind"])
 
     # Of each group a key goes on once, with the smallest and largest kind of page: memory and rows are bounded by its text.
-    made = dealt.where("n is not null").select("host", "bucket", "html").mapInArrow(keys, "host string, bucket int, h long, kind long")
+    made = dealt.where("n is not null").select(F.xxhash64("host").alias("hh"), "g", "body", "scopes").mapInArrow(freed(keys), "hh long, g string, h long, kind long")
     many = F.min("low") < F.max("high") if least == 2 else F.size(F.array_distinct(F.flatten(F.collect_set("few")))) >= least
     few = F.slice(F.collect_set("kind"), 1, least) if least > 2 else F.lit(None).cast("array<long>")
-    held = written(made.groupBy("host", "h", "bucket").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), few.alias("few")))
-    shared = held.groupBy("host", "h").agg(many.alias("many"), F.count("*").alias("groups")).where("many and groups > 1" if least > 1 else "groups > 1")
-    told = held.select("host", "h", "bucket").join(shared.select("host", "h"), ["host", "h"]).select("host", "bucket", "h")
+    of = F.substring_index("g", "-", -1).cast("int").alias("bucket")
+    held = written(made.groupBy("hh", "h", of).agg(F.min("kind").alias("low"), F.max("kind").alias("high"), few.alias("few")))
+    shared = held.groupBy("hh", "h").agg(many.alias("many"), F.count("*").alias("groups")).where("many and groups > 1" if least > 1 else "groups > 1")
+    told = joined(held.select("hh", "h", "bucket"), written(shared.select("hh", "h")), ["hh", "h"], "left_semi").select(F.concat_ws("-", "hh", "bucket").alias("g"), "h")
 
     def one(t: pa.Table, known: pa.Table) -> pa.Table:
-        return result(t, np.sort(known["h"].to_numpy()) if len(known) else None)
+        return result(t, np.sort(known["h"].to_numpy()) if len(known) else None) if len(t) else pa.table({n: pa.array([], x) for n, x in (("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_removed", pa.int64()))})
 
-    return dealt.drop("n").groupBy("host", "bucket").cogroup(told.groupBy("host", "bucket")).applyInArrow(one, schema)
+    return dealt.select(*columns).groupBy("g").cogroup(told.groupBy("g")).applyInArrow(one, schema)

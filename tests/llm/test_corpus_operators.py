@@ -232,11 +232,11 @@ def test_html_repetition_decides_beside_and_in_articles():
     more = "<p>Read our daily letter for more of this</p>"
     own = lambda k: " ".join(f"{k}{i}" for i in range(12))
     page = lambda k: f"<p>{own('intro' + k)}</p><article><p>{own(k)}</p><p>{own(k + k)}</p>{more}</article>{foot}"
-    got = html._group([page("a"), page("b"), page("c")], html.RUN, html.PAGES)
+    got = html._group([html.blocks(page(k)) for k in "abc"], html.RUN, html.PAGES)
     for k, (text, removed) in zip("abc", got):
         assert text == "\n".join([own("intro" + k), own(k), own(k + k)]) and removed == 15
     copies = [f"<article><p>{own('x')}</p><p>{own('y')}</p></article><p>{own(k)}</p>" for k in "de"]
-    assert all(own("x") in t and own("y") in t for t, _ in html._group(copies, html.RUN, html.PAGES))
+    assert all(own("x") in t and own("y") in t for t, _ in html._group(list(map(html.blocks, copies)), html.RUN, html.PAGES))
 
 
 def test_html_does_not_depend_on_the_size_of_groups(spark):
@@ -265,12 +265,37 @@ def test_html_names_inside_articles():
 def test_suffix_classes_are_equal_beginnings():
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 3, 200)
-    for depth in (1, 2, 3, 4, 5, 8):
-        _, rank = html.suffix_order(tokens, depth)
+    for depth, rank in html.suffix_ranks(tokens, [1, 2, 3, 4, 5, 8]):
         keys = [tuple(tokens[i : i + depth]) + (-1,) * (depth - len(tokens[i : i + depth])) for i in range(200)]
         assert all((rank[i] == rank[j]) == (keys[i] == keys[j]) for i in range(0, 200, 3) for j in range(200))
 
 
+def test_covered_equals_brute_force():
+    rng = random.Random(8)
+
+    def brute(parsed, run, pages):
+        kinds = list({tuple(b): None for b in parsed})
+        streams = [[w for t, s in b if s != 2 for w in t.split()] for b in kinds]
+        at = [[tuple(s[i : i + run]) for i in range(len(s) - run + 1)] for s in streams]
+        out = []
+        for b in parsed:
+            k, place, got = kinds.index(tuple(b)), 0, []
+            repeated = {i + j for i, r in enumerate(at[k]) if sum(r in a for a in at) >= pages for j in range(run)}
+            for t, s in b:
+                n = len(t.split())
+                whole = s == 2 and n >= run and sum((t, 2) in o for o in kinds) >= pages
+                got.append((0 if s == 2 else sum(place + i in repeated for i in range(n)), whole))
+                place += 0 if s == 2 else n
+            out.append(got)
+        return out
+
+    for _ in range(150):
+        pool = [" ".join(rng.choice("abcd") for _ in range(rng.choice([1, 3, 4, 5, 9, 40]))) for _ in range(6)]
+        parsed = [[(rng.choice(pool), rng.choice([0, 1, 2])) for _ in range(rng.randrange(6))] for _ in range(rng.randrange(7))]
+        for pages in (2, 3):
+            assert html.covered(parsed, 4, pages) == brute(parsed, 4, pages)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16)) + rng.integers(0, 8, 3000)[:, None]

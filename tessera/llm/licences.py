@@ -86,20 +86,33 @@ def parse(expression: str) -> list[str] | None:
     return out + stack[::-1]
 
 
-def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The ways to comply: each a set of licences that hold together. ``with`` binds an exception to its licence."""
-    stack: list[list[frozenset[str]]] = []
+def evaluate(postfix: list[str]) -> tuple[set[str], set[str]]:
+    """(required, named): the licences that every way to comply holds, and all that some way holds.
+
+    ``and`` requires what either side does, ``or`` what both do; ``with`` binds
+    an exception to its licence. Smaller sets go into larger ones, so the work
+    hardly exceeds the expression's length, however many ways there are.
+    """
+    stack: list[tuple[set[str], set[str]]] = []
+
+    def union(x: set[str], y: set[str]) -> set[str]:
+        if len(x) < len(y):
+            x, y = y, x
+        x |= y
+        return x
+
     for t in postfix:
         if t not in _ORDER:
-            stack.append([frozenset([t])])
+            stack.append(({t}, {t}))
             continue
-        b, a = stack.pop(), stack.pop()
+        (rb, nb), (ra, na) = stack.pop(), stack.pop()
         if t == "or":
-            stack.append(list(dict.fromkeys(a + b)))
+            stack.append((ra & rb, union(na, nb)))
         elif t == "and":
-            stack.append(list(dict.fromkeys(x | y for x in a for y in b)))
+            stack.append((union(ra, rb), union(na, nb)))
         else:
-            stack.append([frozenset(f"{i} with {'/'.join(sorted(y))}" for i in x) for x in a for y in b])
+            end = f" with {'/'.join(sorted(nb))}"
+            stack.append(({i + end for i in ra}, {i + end for i in na}))
     return stack[0]
 
 
@@ -140,9 +153,9 @@ def scan(docs: DataFrame) -> DataFrame:
     and last_word (smallest and largest start of a base phrase; null without),
     base_labels, labels (base and added; sorted, comma-joined, empty if none),
     score (0 without evidence; base phrases, notices and tags add up towards 1),
-    expressions (the tags' expressions) and choices (the ways to comply, listed
-    for expressions of up to 16 identifiers, whose ways are at most 256).
-    Null and empty texts have no words and score 0.
+    expressions (the tags' expressions), required (what every way to comply with
+    them holds) and optional (what only some ways hold).
+    Null and empty texts have no words and score 0; repeated rows give repeated rows; an empty table gives none.
     """
 
     def make():
@@ -176,7 +189,9 @@ def scan(docs: DataFrame) -> DataFrame:
             base = [(s, h[1]) for s, h in zip(starts, hits) if h[2]]
             base_labels = {label for _, label in base}
             labels = base_labels | {h[1] for h in hits}
-            expressions, choices = [], []
+            expressions: list[str] = []
+            required: set[str] = set()
+            named: set[str] = set()
             low = raw.translate(_LOWER).decode("latin-1")
             for end, _ in tags.iter(low):
                 stop = low.find("\n", end + 1)
@@ -185,12 +200,13 @@ def scan(docs: DataFrame) -> DataFrame:
                 if ids:
                     expressions.append(text_)
                     labels |= set(ids)
-                    if len(ids) <= 16:
-                        choices += [" and ".join(sorted(c)) for c in evaluate(parse(text_))]
+                    must, may = evaluate(parse(text_))
+                    required |= must
+                    named |= may
             kinds = (0.6 if base_labels else 0.0) + (0.25 if len(labels) > len(base_labels) else 0.0) + (0.15 if expressions else 0.0)
-            return (n, len(base), min((s for s, _ in base), default=None), max((s for s, _ in base), default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), min(1.0, kinds), expressions, sorted(set(choices)))
+            return (n, len(base), min((s for s, _ in base), default=None), max((s for s, _ in base), default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), min(1.0, kinds), expressions, sorted(required), sorted(named - required))
 
-        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "choices"]
+        names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "required", "optional"]
         return lambda texts: dict(zip(names, map(list, zip(*map(one, texts)))))
 
-    return map_texts(docs, ["doc_id"], "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, choices array<string>", make)
+    return map_texts(docs, ["doc_id"], "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, required array<string>, optional array<string>", make)

@@ -23,6 +23,10 @@ UNIT = 64
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
 
 
+#: Levels of nested boxes of which the path is kept.
+MAX_DEPTH = 64
+
+
 def _box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     if len(body) + 8 < 1 << 32:
@@ -77,26 +81,30 @@ def mux(payload: bytes, unit: int = UNIT, rate: int = 8000, per_chunk: int = 64,
     return ftyp + moov(base) + _box(b"mdat", payload)
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple = ()):
-    """(path, body start, body end) of each box, depth first. Damaged sizes end the walk of their level."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def boxes(data: bytes):
+    """(path, body start, body end) of each box, depth first. Damaged sizes end the walk of their level, at any depth."""
+    levels: list[tuple[int, int, tuple]] = [(0, len(data), ())]
+    while levels:
+        start, end, path = levels.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
             if start + 16 > end:
-                return
+                continue
             (size,) = struct.unpack_from(">Q", data, start + 8)
             head = 16
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
-            return
-        here = (*path, kind)
+            continue
+        levels.append((start + size, end, path))
+        # Below MAX_DEPTH no table that is read can stand: deeper boxes are told by their kind alone.
+        here = (*path, kind) if len(path) < MAX_DEPTH else (*path[:-1], kind)
         yield here, start + head, start + size
         if kind in CONTAINERS:
-            yield from boxes(data, start + head, start + size, here)
-        start += size
+            levels.append((start + head, start + size, here))
 
 
 def _numbers(data: bytes, at: int, end: int, fmt: str, width: int = 1) -> tuple:
@@ -143,7 +151,7 @@ def index(data: bytes) -> list[dict]:
                 t["sizes"] = [x for y in raw for x in (y >> 4, y & 15)][:n] if bits == 4 else list(raw[:n]) if bits == 8 else list(struct.unpack_from(f">{min(n, len(raw) // 2)}H", raw))
             elif kind in (b"stco", b"co64"):
                 t["chunks"] = _numbers(data, a, b, "I" if kind == b"stco" else "Q")
-        except struct.error:
+        except (struct.error, IndexError):
             t["damaged"] = True
     for t in tracks:
         _place(t)
@@ -157,7 +165,7 @@ def _place(t: dict) -> None:
     sizes = t["sizes"]
     for r, (first, per, _) in enumerate(runs):
         stop = runs[r + 1][0] - 1 if r + 1 < len(runs) else len(t["chunks"])
-        for c in range(first - 1, min(stop, len(t["chunks"]))):
+        for c in range(max(0, first - 1), min(stop, len(t["chunks"]))):
             own = sizes[i : i + per]
             offsets += accumulate(own[:-1], initial=t["chunks"][c]) if own else ()
             i += len(own)

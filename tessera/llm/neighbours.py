@@ -23,7 +23,8 @@ from tessera.llm.common import written
 
 #: The index is fitted on at most so many vectors, those with the smallest hashes of vec_id.
 SAMPLE = 8192
-PARTITIONS = 32
+#: Partitions: so many at least, one for about so many rows beyond that, and so many sample vectors in each at least.
+PARTITIONS, PART_ROWS, PART_SAMPLE = 32, 4096, 64
 NEIGHBOURS = 12
 TARGET = 0.95
 #: Rows and queries that meet in one task at most.
@@ -97,7 +98,12 @@ class Router:
 
 def fit(x: np.ndarray, parts: int = PARTITIONS, target: float = TARGET, hidden: int = 128, epochs: int = 30, seed: int = 1) -> Router:
     """The router of a sample. With fewer vectors than a few for each partition there is one partition."""
-    n, dim = x.shape
+    rng = np.random.default_rng(seed)
+    every, dim = x, x.shape[1]
+    # What the calibration asks for is kept out of the fit.
+    order = rng.permutation(len(x))
+    ask, x = order[: min(1024, len(x) // 8)], x[order[min(1024, len(x) // 8) :]]
+    n = len(x)
     parts = max(1, min(parts, n // 16))
     mean, scale = x.mean(0), float(x.std()) or 1.0
     if parts == 1:
@@ -109,7 +115,6 @@ def fit(x: np.ndarray, parts: int = PARTITIONS, target: float = TARGET, hidden:
     aim = np.zeros((n, parts))
     np.add.at(aim, (np.repeat(np.arange(n), k), label[graph.ravel()]), 1 / (k + 1))
     aim[np.arange(n), label] += 1 / (k + 1)
-    rng = np.random.default_rng(seed)
     w = [rng.normal(0, np.sqrt(2 / dim), (dim, hidden)), np.zeros(hidden), rng.normal(0, np.sqrt(1 / hidden), (hidden, parts)), np.zeros(parts)]
     m, v, t = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w], 0
     for epoch in range(epochs):
@@ -129,10 +134,9 @@ def fit(x: np.ndarray, parts: int = PARTITIONS, target: float = TARGET, hidden:
                 v[i] = 0.999 * v[i] + 0.001 * d * d
                 w[i] = w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
     draft = Router(mean, scale, tuple(w), 1)
-    # Calibration: where do the neighbours of sample vectors lie in the routes of these?
-    ask = rng.permutation(n)[:1024]
-    true = nearest(z, z[ask], min(10, n - 1), ask)
-    logits = draft.logits(x)
+    # Calibration: where do the neighbours of vectors that the fit hasn't seen lie in the routes of these?
+    true = nearest(every, every[ask], min(10, len(every) - 1), ask)
+    logits = draft.logits(every)
     home = logits.argmax(1)
     rank = np.empty((len(ask), parts), np.int64)
     np.put_along_axis(rank, np.argsort(-logits[ask], axis=1), np.arange(parts)[None], axis=1)
@@ -146,7 +150,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.where(ok).select("vec_id", v.alias("v")).where(finite)
+    return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(finite)
 
 
 def _matrix(column) -> np.ndarray:
@@ -154,14 +158,15 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = PARTITIONS, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
+def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int | None = None, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """The k nearest rows found for each row whose vec_id is divisible by ``every``: query_id, rank, vec_id, score.
 
     Vectors that are null, zero or hold null or non-finite components take no
     part, nor do rows without vec_id or with another number of components than
     most of the sample. Candidates are all rows whose vec_id isn't the query's;
     ties go to the smaller vec_id; a vec_id that is repeated is found as often
-    as it has rows. An empty table gives an empty result.
+    as it has rows, and asks as often, each row with its own ranks. An empty
+    table gives an empty result. ``parts`` grows with the table unless given.
     """
     spark = vectors.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
@@ -171,6 +176,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = PARTI
         return spark.createDataFrame([], out_schema)
     sizes = drawn["v"].combine_chunks().value_lengths().to_numpy()
     dim = int(np.bincount(sizes).argmax())
+    if parts is None:
+        parts = max(PARTITIONS, min(rows.count() // PART_ROWS, len(drawn) // PART_SAMPLE))
     router = fit(_matrix(drawn["v"].combine_chunks().filter(pa.array(sizes == dim))), parts, target)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +189,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = PARTI
             probes = pa.array([o[: router.probes] if a else None for o, a in zip(order, asks)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b["vec_id"], b["v"], pa.array(order[:, 0]), probes], ["vec_id", "v", "part", "probes"])
 
-    routed = written(rows.where(F.size("v") == dim).mapInArrow(route, "vec_id long, v array<double>, part int, probes array<int>"))
+    routed = written(rows.where(F.size("v") == dim).mapInArrow(route, "vec_id long, v array<double>, part int, probes array<int>").withColumn("row", F.monotonically_increasing_id()))
     held = {r["part"]: r["n"] for r in routed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # as many rows as partitions
-    asks = routed.where(F.col("probes").isNotNull()).select(F.col("vec_id").alias("query_id"), "v", F.explode("probes").alias("part"))
+    asks = routed.where(F.col("probes").isNotNull()).select(F.col("vec_id").alias("query_id"), "row", "v", F.explode("probes").alias("part"))
     asked = {r["part"]: r["n"] for r in asks.groupBy("part").agg(F.count("*").alias("n")).collect()}
     row_blocks = {p: -(-n // ROW_BLOCK) for p, n in held.items()}
     query_blocks = {p: -(-n // QUERY_BLOCK) for p, n in asked.items()}
@@ -196,13 +203,13 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = PARTI
         """Each row in one block of its own kind, repeated for the blocks of the other kind that it has to meet."""
         return df.withColumn(mine, F.pmod(F.xxhash64(key), of(own, 1)).cast("int")).withColumn("_n", of(other, 0)).where("_n > 0").withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
 
-    left = dealt(routed.select("part", "vec_id", "v"), "vec_id", row_blocks, query_blocks, "rb", "qb")
-    right = dealt(asks, "query_id", query_blocks, row_blocks, "qb", "rb")
+    left = dealt(routed.select("part", "row", "vec_id", "v"), "row", row_blocks, query_blocks, "rb", "qb")
+    right = dealt(asks, "row", query_blocks, row_blocks, "qb", "rb")
 
     def compare(rows_: pa.Table, queries_: pa.Table) -> pa.Table:
         ids, x = rows_["vec_id"].to_numpy(), _matrix(rows_["v"])
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q, y in zip(queries_["query_id"].to_numpy(), _matrix(queries_["v"])):
+        got: list[tuple[np.ndarray, ...]] = []
+        for q, row, y in zip(queries_["query_id"].to_numpy(), queries_["row"].to_numpy(), _matrix(queries_["v"])):
             if not len(ids):
                 break
             d = np.sqrt(((x - y) ** 2).sum(1))
@@ -210,11 +217,11 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, parts: int = PARTI
             near = np.flatnonzero(d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
             near = near[np.isfinite(d[near])]
             near = near[np.lexsort((ids[near], d[near]))][:k]
-            got.append((np.full(len(near), q), ids[near], d[near]))
-        cols = [np.concatenate(c) for c in zip(*got)] if got else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+            got.append((np.full(len(near), q), np.full(len(near), row), ids[near], d[near]))
+        cols = [np.concatenate(c) for c in zip(*got)] if got else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "row", "vec_id", "score"), cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))})
 
     key = ["part", "rb", "qb"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(compare, "query_id long, row long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "row").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -372,3 +372,11 @@ def test_minimizers_are_those_of_all_windows():
         g = g & ~np.uint64(0xFFFFF) | np.arange(len(g)).astype(np.uint64)
         w = min(P.WINDOW, len(g))
         assert got.tolist() == sorted({i + int(g[i : i + w].argmin()) for i in range(len(g) - w + 1)})
+
+
+def test_neighbours_of_a_repeated_query(spark):
+    rows = [(int(i), [float(i), 1.0]) for i in range(1, 60)] + [(100, [5.0, 1.0]), (100, [30.0, 1.0]), (200, [7.0, 1.0])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id int, embedding array<double>"), k=5).collect()
+    assert sorted(r["rank"] for r in got if r.query_id == 100) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert {r.vec_id for r in got if r.query_id == 100} >= {5, 30, 4, 6, 29, 31}
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 200), key=lambda r: r["rank"])][:2] == [7, 6]

@@ -67,8 +67,11 @@ def test_licences_against_brute_force(spark):
 def test_licence_expressions():
     assert licences.parse("mit or apache-2.0 and bsd") == ["mit", "apache-2.0", "bsd", "and", "or"]
     assert licences.parse("(mit") is None and licences.parse("mit or") is None and licences.parse("mit bsd") is None and licences.parse("") is None
-    assert licences.evaluate(licences.parse("(a or b) and c")) == [frozenset("ac"), frozenset("bc")]
-    assert licences.evaluate(licences.parse("gpl-2.0 with x")) == [frozenset(["gpl-2.0 with x"])]
+    assert licences.evaluate(licences.parse("(a or b) and c")) == ({"c"}, set("abc"))
+    assert licences.evaluate(licences.parse("a or b")) != licences.evaluate(licences.parse("a and b"))
+    assert licences.evaluate(licences.parse("gpl-2.0 with x")) == ({"gpl-2.0 with x"}, {"gpl-2.0 with x"})
+    many = " and ".join(f"(a{i} or b{i})" for i in range(500))
+    assert licences.evaluate(licences.parse(many + " and c"))[0] == {"c"}
     assert licences.tagged(" (mit or bsd) and more words")[0] == "(mit or bsd) and more"
 
 
@@ -114,3 +117,51 @@ def test_quality_learns_and_holds_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
     flat = quality.train(docs, labels.where("quality = 1"))
     assert {r.score for r in quality.scored(docs, flat).collect()} == {0.5}
+
+
+def test_licence_evaluation_equals_listing_every_way():
+    import random
+
+    rng = random.Random(2)
+
+    def ways(postfix):
+        stack = []
+        for t in postfix:
+            if t not in ("and", "or"):
+                stack.append([frozenset([t])])
+                continue
+            b, a = stack.pop(), stack.pop()
+            stack.append(a + b if t == "or" else [x | y for x in a for y in b])
+        return stack[0]
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice("abcd")
+        return f"({expression(depth - 1)} {rng.choice(['and', 'or'])} {expression(depth - 1)})"
+
+    for _ in range(300):
+        postfix = licences.parse(expression(3))
+        every = ways(postfix)
+        assert licences.evaluate(postfix) == (set(frozenset.intersection(*every)), set(frozenset.union(*every)))
+
+
+def test_media_index_answers_for_any_bytes():
+    import random
+
+    rng = random.Random(6)
+    whole = media.mux(media.pad(b"x" * 1000, media.UNIT), media.UNIT)
+    deep = b""
+    for _ in range(3000):
+        deep = (len(deep) + 8).to_bytes(4, "big") + b"moov" + deep
+    cases = [deep, b"", b"\0" * 40, whole[:-1]]
+    for _ in range(1500):
+        raw = bytearray(whole)
+        for _ in range(rng.randrange(1, 6)):
+            raw[rng.randrange(min(len(raw), 700))] = rng.choice([0, 1, 255, rng.randrange(256)])
+        cases.append(bytes(raw[: rng.choice([len(raw), rng.randrange(len(raw))])]))
+    for kind in (b"mdhd", b"stz2", b"stsz", b"stsc", b"stco"):
+        inner = (8).to_bytes(4, "big") + kind
+        cases.append((len(inner) + 8).to_bytes(4, "big") + b"trak" + inner)
+    for data in cases:
+        for t in media.index(data):
+            media.samples(data, t)

@@ -282,7 +282,7 @@ def chains(docs: DataFrame) -> DataFrame:
     heads = s.groupBy("seed").agg(F.min("doc_id").alias("other_id"), F.max("doc_id").alias("top"), F.min_by("at", F.expr("CASE WHEN first THEN doc_id END")).alias("other_at")).where("other_id < top")
     # Stored, so that a seed that very many texts hold is a skewed side of a plain join, which can be split.
     heads = written(heads.select("seed", "other_id", "other_at"))
-    matches = joined(s.select("seed", "doc_id", "at"), heads, "seed", "inner").where("doc_id <> other_id")
+    matches = s.select("seed", "doc_id", "at").join(heads.hint("merge"), "seed").where("doc_id <> other_id")
     dealt = matches.select("doc_id", "other_id", "at", "other_at").repartition("doc_id").sortWithinPartitions("doc_id", "other_id", "at", "other_at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

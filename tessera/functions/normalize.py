@@ -89,11 +89,10 @@ def company(c: Column, fold: bool = False) -> Column:
     if fold:
         v = F.when(v.rlike(r"[^\x00-\x7F]"), unicode_fold(v)).otherwise(v)
     v = F.regexp_replace(v, r"^[ ,;:-]+|[ ,;:-]+$", "")
-    # Designators may stand one behind another: three rounds take off up to three.
-    for _ in range(3):
-        for p in LEGAL_SUFFIXES:
-            v = F.regexp_replace(v, "(?i)" + p, "")
-        v = F.regexp_replace(v, r"^[ ,;:-]+|[ ,;:-]+$", "")
+    # Designators may stand one behind another, with punctuation between: all at the end go at once.
+    one = "|".join(p.removesuffix("$") for p in LEGAL_SUFFIXES)
+    v = F.regexp_replace(v, rf"(?i)(?:(?:{one})[ ,;:-]*)+$", "")
+    v = F.regexp_replace(v, r"^[ ,;:-]+|[ ,;:-]+$", "")
     return F.nullif(v, F.lit(""))
 
 

@@ -120,7 +120,8 @@ def hundredths_mean(c: Column) -> Column:
 
 def experience_rows(claims: DataFrame) -> DataFrame:
     """The best claim of each record's experience fields, with the key of the role they describe."""
-    e = best(claims.where("field_path like 'experience.%'"), ["cluster_id", "record_id", "field_path"])
+    # Dealt once by record: the ranking, the grouping and the join below all keep to that.
+    e = best(claims.where("field_path like 'experience.%'").repartition("cluster_id", "record_id"), ["cluster_id", "record_id", "field_path"])
     part = lambda f: F.max(F.when(F.col("field_path") == f"experience.{f}", F.col("value")))
     r = e.groupBy("cluster_id", "record_id").agg(*[part(f).alias(f) for f in ("company", "title", "start", "end")]).where("company is not null or title is not null")
     keyed = r.select(
@@ -134,7 +135,9 @@ def experience_rows(claims: DataFrame) -> DataFrame:
 
 def experience(rows: DataFrame) -> DataFrame:
     """Per role: the best company, title, start and end, the mean confidence, the sources, and the first record."""
-    v = company(F.col("value"))
+    # The cleaned name is worked out once a row, and only where it is asked for.
+    rows = rows.withColumn("_v", F.when(F.col("field_path") == "experience.company", company(F.col("value"))))
+    v = F.col("_v")
     penalty = F.when(v.rlike(r"\p{L}") & ((v == F.upper(v)) | (v == F.lower(v))), 1).otherwise(0)
     plain = F.struct(-F.col("confidence"), -F.length("value"), _priority(F.col("source_type")), F.col("value").alias("v"), F.coalesce("locator", F.lit("")))
     named = F.struct(-F.col("confidence"), penalty, _priority(F.col("source_type")), F.lower(F.coalesce(v, F.lit(""))), F.coalesce("locator", F.lit("")), F.col("value").alias("v"))

@@ -104,31 +104,39 @@ def type_error(dt: t.DataType, value: Column, out: str, wanted: str) -> Column:
     return F.when(value.isNotNull(), message)
 
 
+def _one_of(at: str, value: Any, allowed) -> list[str]:
+    if not isinstance(value, str):
+        return [f"{at} must be a string"]
+    return [] if value in allowed else [f"{at} must be one of {sorted(allowed)}"]
+
+
+def _flag(at: str, value: Any) -> list[str]:
+    return [] if isinstance(value, bool) else [f"{at} must be a boolean"]
+
+
 def config_errors(config: Any) -> list[str]:
-    """All that is wrong with a projection config, in order."""
+    """All that is wrong with a projection config, in order. Keys that aren't known are ignored; no fields are fine."""
     if not isinstance(config, dict):
         return ["config must be an object"]
-    out = [f"config.{k} is not supported" for k in config if k not in ("fields", "include_confidence", "include_provenance", "on_missing")]
-    out += [f"config.{k} must be a boolean" for k in ("include_confidence", "include_provenance") if k in config and not isinstance(config[k], bool)]
-    if "on_missing" in config and config["on_missing"] not in POLICIES:
-        out.append(f"config.on_missing must be one of {POLICIES}")
-    fields = config.get("fields")
-    if not isinstance(fields, list) or not fields:
-        return [*out, "config.fields must be a non-empty list"]
-    for i, f in enumerate(fields):
+    fields, listed = config.get("fields"), isinstance(config.get("fields"), list)
+    out = [] if listed else ["config.fields must be a list"]
+    policy = config.get("on_missing", "null")
+    problems = _one_of("config.on_missing", policy, POLICIES)
+    out += problems
+    for k in ("include_confidence", "include_provenance"):
+        out += _flag(f"config.{k}", config.get(k, False))
+    for i, f in enumerate(fields if listed else []):
         at = f"config.fields[{i}]"
         if not isinstance(f, dict):
             out.append(f"{at} must be an object")
             continue
-        out += [f"{at}.{k} is not supported" for k in f if k not in ("path", "from", "type", "required", "on_missing", "normalize")]
-        for k in ("path", "from"):
-            if (k == "path" or k in f) and (not isinstance(f.get(k), str) or not f[k].strip()):
-                out.append(f"{at}.{k} must be a non-empty string")
-        for k, allowed in (("type", TYPES), ("on_missing", POLICIES), ("normalize", NORMALIZERS)):
-            if k in f and f[k] not in allowed:
-                out.append(f"{at}.{k} must be one of {allowed}")
-        if "required" in f and not isinstance(f["required"], bool):
-            out.append(f"{at}.required must be a boolean")
+        for k, v in (("path", f.get("path")), ("from", f.get("from", f.get("path")))):
+            out += [] if isinstance(v, str) and v else [f"{at}.{k} must be a non-empty string"]
+        out += _one_of(f"{at}.type", f.get("type", "any"), TYPES)
+        out += _flag(f"{at}.required", f.get("required", False))
+        out += _one_of(f"{at}.on_missing", f.get("on_missing", "null" if problems else policy), POLICIES)
+        if f.get("normalize") is not None:
+            out += _one_of(f"{at}.normalize", f["normalize"], NORMALIZERS)
     return out
 
 

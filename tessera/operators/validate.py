@@ -62,3 +62,10 @@ def validated(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = candidates.withColumn("__errors", errors(candidates))
     bad = judged.where(F.size("__errors") > 0).select("candidate_id", F.explode("__errors").alias("message"))
     return judged.where(F.size("__errors") == 0).drop("__errors"), bad
+
+
+def checked(observations: DataFrame) -> DataFrame:
+    """``observations``; reading one whose confidence is missing or beyond 0 to 1 fails."""
+    c = F.col("confidence")
+    wrong = F.raise_error(F.lit("confidence must be between 0.0 and 1.0")).cast("double")
+    return observations.withColumn("confidence", F.when(c.between(0.0, 1.0), c).otherwise(wrong))

@@ -8,6 +8,7 @@ import os
 import sys
 
 from tessera.plans.fusion import Result, dumped, envelope, read_manifest, run
+from tessera.sources.profile import http_fetch
 
 
 def session():
@@ -40,7 +41,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     except (OSError, ValueError) as e:
         print(f"ERROR: {e}", file=sys.stderr)
         return 1
-    result: Result = run(spark or session(), csv, notes, urls, refs, config, a.default_phone_region, enrich=a.enrich_github)
+    result: Result = run(spark or session(), csv, notes, urls, refs, config, a.default_phone_region, fetch=http_fetch(os.environ.get("GITHUB_TOKEN") or None), enrich=a.enrich_github)
     for w in result.warnings:
         print(f"WARNING: {w}", file=sys.stderr)
     for e in result.errors:

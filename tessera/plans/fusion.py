@@ -15,7 +15,7 @@ from tessera.operators.fuse import fuse
 from tessera.operators.project import assemble, config_errors, project
 from tessera.operators.resolve import resolve
 from tessera.operators.scratch import stored
-from tessera.operators.validate import validated
+from tessera.operators.validate import checked, validated
 from tessera.sources import notes as notes_source
 from tessera.sources import profile as profile_source
 from tessera.sources.structured import OBSERVATION, read_csv
@@ -52,8 +52,9 @@ def run(
     """Read all sources, resolve, fuse, validate and project.
 
     A config is checked before anything is read. Notes take references by full
-    path, then by file name. Profiles come from ``captured`` payloads or from
-    ``fetch``; without either a profile url is a claim alone.
+    path, then by file name. Profiles come from ``captured`` payloads and, for
+    other urls, from ``fetch`` (``profile.http_fetch`` reads them over HTTP);
+    without either a profile url is a claim alone.
     """
     out = Result()
     if config is not None and (problems := config_errors(config)):
@@ -85,15 +86,15 @@ def run(
             found = found.unionByName(p)
         urls += [r.u for r in found.where("field_path = 'links.github'").select(F.col("normalized_value").alias("u")).distinct().orderBy("u").collect()]
     if urls or captured is not None:
-        if captured is None:
-            captured = profile_source.fetched(spark, urls, fetch or (lambda u: (None, None, "ok")))
+        got = profile_source.fetched(spark, urls, fetch or (lambda u: (None, None, "ok"))) if urls else None
+        captured = got if captured is None else captured if got is None else profile_source.together(captured, got)
         seen, bad = profile_source.payload_claims(captured)
         parts.append(seen)
         out.warnings += [r.message for r in bad.orderBy("url", "message").collect()]
     every = spark.createDataFrame([], OBSERVATION)
     for p in parts:
         every = every.unionByName(p)
-    out.observations = stored(every)
+    out.observations = stored(checked(every))
     if out.observations.isEmpty():
         out.warnings.append("No observations were extracted from the provided sources.")
         out.projected = [] if config else None

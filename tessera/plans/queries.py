@@ -1,7 +1,8 @@
 """Queries of the fusion engine over the relational tables, each with its SQL.
 
-Every query goes through the operators of this library; every result column is
-named and cast alike on both sides.
+Queries go through the operators of this library where it has one; plain set,
+ordering and text queries use Spark's own. Every result column is named and cast
+alike on both sides.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from tessera.functions import normalize as N
 from tessera.operators import fuse as U
 from tessera.operators import resolve as R
 from tessera.operators.components import components
+from tessera.operators.validate import checked, validated
 from tessera.plans.tables import table as T
+from tessera.sources import structured
+from tessera.sources.notes import note_claims
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -39,17 +43,21 @@ PHONE = r"\+1 \([2-9]\d{2}\) [2-9]\d{2}-\d{4}"
 SELECT DISTINCT doc_id, lower(e) AS email FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS e FROM documents)
 WHERE length(e) <= 254 AND NOT regexp_matches(lower(e), '^\.|\.@|\.\.') AND len(string_split(e, '@')) = 2""")
 def email_extract(spark, d):
-    """Addresses in text, normalized, once for each text."""
-    found = T(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(EMAIL), 0)).alias("e"))
-    return found.select("doc_id", N.email(F.col("e")).alias("email")).where("email is not null").distinct()
+    """Addresses in notes, normalized, once for each note."""
+    return _note_claims(spark, d, "emails", "email")
+
+
+def _note_claims(spark, d, field, name):
+    notes = T(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text", F.lit(None).cast("string").alias("candidate_ref"))
+    seen, _ = note_claims(notes)
+    return seen.where(F.col("field_path") == field).select(F.col("source.source_id").cast("long").alias("doc_id"), F.col("normalized_value").alias(name))
 
 
 @query(rf"""
 SELECT DISTINCT doc_id, '+' || regexp_replace(p, '\D', '', 'g') AS phone FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{PHONE}')) AS p FROM documents)""")
 def phone_e164(spark, d):
-    """International numbers in text in E.164."""
-    found = T(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(PHONE), 0)).alias("p"))
-    return found.select("doc_id", N.phone(F.col("p")).alias("phone")).where("phone is not null").distinct()
+    """International numbers in notes in E.164."""
+    return _note_claims(spark, d, "phones", "phone")
 
 
 _URL_SQL = r"""
@@ -141,18 +149,30 @@ UNION ALL SELECT o_orderkey, 'candidate_ref', CAST(c_custkey AS VARCHAR) FROM or
 
 @query(_OBS)
 def observations_unpivot(spark, d):
-    """A wide row becomes claims."""
-    wide = T(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").join(T(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
-    claim = lambda f, c: F.struct(F.lit(f).alias("field_path"), c.cast("string").alias("value"))
-    return wide.select(F.col("o_orderkey").alias("record"), F.inline(F.array(claim("full_name", F.col("c_name")), claim("application.id", F.col("o_orderkey")), claim("experience.title", F.col("o_orderpriority")), claim("candidate_ref", F.col("c_custkey")))))
+    """Rows of an export become claims."""
+    wide = T(spark, d, "orders").join(T(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("row"), F.col("c_name").alias("_c0"), F.col("o_orderkey").cast("string").alias("_c1"), F.col("o_orderpriority").alias("_c2"), F.col("c_custkey").cast("string").alias("_c3"))
+    seen, _ = structured.claims(wide, ["Full Name", "Application ID", "Job title", "candidate_id"], "orders")
+    return seen.select(F.regexp_extract("record_id", r"row=(\d+)$", 1).cast("long").alias("record"), "field_path", F.col("normalized_value").alias("value"))
 
 
 @query("""
-SELECT s_suppkey, i - 1 AS pos, trim(parts[i]) AS item FROM (SELECT s_suppkey, string_split(replace(s_name || '; ' || s_nationkey || ' ,' || s_suppkey, ';', ','), ',') AS parts FROM supplier), unnest(range(1, len(parts) + 1)) AS u(i) WHERE trim(parts[i]) <> ''""")
+SELECT s_suppkey, 's' || s_suppkey || '@x.com' AS item FROM supplier UNION ALL SELECT s_suppkey, 'n' || s_nationkey || '@y.org' FROM supplier""")
 def multivalue_split(spark, d):
-    cell = F.concat_ws("", "s_name", F.lit("; "), "s_nationkey", F.lit(" ,"), "s_suppkey")
-    items = F.filter(F.transform(F.split(cell, "[;,]"), N.strip), lambda x: x != "")
-    return T(spark, d, "supplier").select("s_suppkey", F.posexplode(items).alias("pos", "item")).withColumn("pos", F.col("pos").cast("long"))
+    """A cell that holds several addresses."""
+    seen, _ = structured.claims(_supplier_rows(spark, d), ["email"], "suppliers")
+    return seen.select(F.regexp_extract("record_id", r"row=(\d+)$", 1).cast("long").alias("s_suppkey"), F.col("normalized_value").alias("item"))
+
+
+@query("""
+SELECT CAST(s_suppkey AS BIGINT) AS row, concat('Invalid email at row=', s_suppkey, ', column=email: ', chr(39), s_suppkey, chr(39)) AS message FROM supplier""")
+def row_diagnostics(spark, d):
+    """What is wrong with a cell, by row and column."""
+    return structured.claims(_supplier_rows(spark, d), ["email"], "suppliers")[1].select("row", "message")
+
+
+def _supplier_rows(spark, d):
+    cell = F.concat_ws("", F.lit("S"), "s_suppkey", F.lit("@x.com; n"), "s_nationkey", F.lit("@Y.org ,"), "s_suppkey")
+    return T(spark, d, "supplier").select(F.col("s_suppkey").alias("row"), cell.alias("_c0"))
 
 
 @query("""
@@ -301,13 +321,17 @@ def source_labels(spark, d):
 
 
 @query("""
-SELECT company, title, start, CAST(floor(sum(CASE WHEN l_discount > 0.05 THEN 85 ELSE 90 END) / count(*)) AS BIGINT) AS floor_confidence, count(*) AS n FROM (
-  SELECT l_discount, l_returnflag AS company, l_linestatus AS title, strftime(l_shipdate, '%Y-%m') AS start FROM lineitem) GROUP BY ALL""")
+SELECT 's' || l_suppkey AS cluster_id, l_returnflag AS company, l_linestatus AS title, strftime(l_shipdate, '%Y-%m') AS start, 90 AS confidence, CAST(count(DISTINCT l_linenumber) AS INTEGER) AS n_sources,
+  min('r' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || strftime(l_shipdate, '%Y%m%d') || l_returnflag || l_linestatus) AS first FROM lineitem GROUP BY ALL""")
 def experience_group(spark, d):
-    """Roles by company, title and start, with the mean confidence in whole hundredths."""
-    r = T(spark, d, "lineitem").select(F.col("l_returnflag").alias("company"), F.col("l_linestatus").alias("title"), F.date_format("l_shipdate", "yyyy-MM").alias("start"), F.when(F.col("l_discount") > 0.05, 0.85).otherwise(0.90).alias("c"))
-    g = r.groupBy("company", "title", "start").agg(U.hundredths_mean(F.col("c")).alias("m"), F.count("*").alias("n"))
-    return g.select("company", "title", "start", F.floor(F.col("m") * 100 + 1e-9).alias("floor_confidence"), "n")
+    """Roles of a cluster by company, title and start, with their sources and first record."""
+    claim = lambda f, c: F.struct(F.lit(f"experience.{f}").alias("field_path"), c.alias("value"))
+    rows = T(spark, d, "lineitem").select(
+        F.concat(F.lit("s"), "l_suppkey").alias("cluster_id"), F.concat(F.lit("r"), "l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey", F.lit("-"), F.date_format("l_shipdate", "yyyyMMdd"), "l_returnflag", "l_linestatus").alias("record_id"), F.lit("recruiter_csv").alias("source_type"), F.concat(F.lit("line"), "l_linenumber").alias("source_id"),
+        F.lit("l").alias("locator"), F.lit("m").alias("method"), F.lit(0.9).alias("confidence"), F.inline(F.array(claim("company", F.col("l_returnflag")), claim("title", F.col("l_linestatus")), claim("start", F.date_format("l_shipdate", "yyyy-MM")))),
+    )
+    e = U.experience(U.experience_rows(rows.withColumn("normalized_value", F.col("value"))))
+    return e.select("cluster_id", "company", "title", "start", F.round(F.col("confidence") * 100).cast("int").alias("confidence"), F.size("sources").alias("n_sources"), "first")
 
 
 @query("""
@@ -441,14 +465,53 @@ def schema_violations(spark, d):
 
 
 @query("""
-SELECT c_custkey, CAST(15 * 90 + 25 * CASE WHEN c_custkey % 3 = 0 THEN 97 ELSE 0 END + 20 * CASE WHEN c_custkey % 2 = 0 THEN 90 ELSE 71 END AS BIGINT) AS basis FROM customer""")
+SELECT c_custkey, CAST(floor((15 * 92 + 25 * CASE WHEN c_custkey % 3 = 0 THEN 97 ELSE 0 END + 20 * CASE WHEN c_custkey % 2 = 0 THEN 90 ELSE 71 END) / 100.0 + 0.5) AS INTEGER) AS overall FROM customer""")
 def overall_basis(spark, d):
-    """Overall confidence in ten-thousandths before rounding."""
-    from tessera.functions.constants import OVERALL
+    """Overall confidence in hundredths; what is missing counts nothing."""
+    email, hub = F.when(F.col("c_custkey") % 3 == 0, 0.97), F.when(F.col("c_custkey") % 2 == 0, 0.90).otherwise(0.71)
+    none = F.lit(None).cast("double")
+    parts = {"full_name": F.lit(0.92), "email": email, "phone": none, "github": hub, "skills": none, "experience": none}
+    return T(spark, d, "customer").select("c_custkey", F.round(U.overall(parts) * 100).cast("int").alias("overall"))
+
+
+def _customer_observations(spark, d):
+    """Customers as records of an export: reference, name, address; every third has a second record, of a note, with a skill."""
+    obs = lambda record, kind, f, v, c: F.struct(record.alias("record_id"), F.lit(f).alias("field_path"), v.alias("raw_value"), v.alias("normalized_value"), F.struct(F.lit(kind).alias("source_type"), record.alias("source_id"), F.lit("l").alias("locator")).alias("source"), F.lit("m").alias("method"), F.lit(c).alias("confidence"))
+    r, n, k = F.format_string("c%09d", "c_custkey"), F.format_string("n%09d", "c_custkey"), F.col("c_custkey")
+    mail = F.concat(F.lit("c"), k, F.lit("@x.com"))
+    own = F.array(obs(r, "recruiter_csv", "candidate_ref", k.cast("string"), 0.98), obs(r, "recruiter_csv", "full_name", F.col("c_name"), 0.9), obs(r, "recruiter_csv", "emails", mail, 0.95))
+    more = F.when(k % 3 == 0, F.array(obs(n, "recruiter_notes", "emails", mail, 0.76), obs(n, "recruiter_notes", "skills", F.col("c_mktsegment"), 0.68)))
+    return T(spark, d, "customer").select(F.inline(F.concat(own, F.coalesce(more, F.slice(own, 1, 0)))))
+
+
+_CANDIDATE = "'cand_' || substring(sha256('candidate_ref:' || c_custkey || '|email:c' || c_custkey || '@x.com'), 1, 16)"
+
+
+@query(f"""
+SELECT {_CANDIDATE} AS candidate_id, c_name AS full_name, 'c' || c_custkey || '@x.com' AS primary_email, CASE WHEN c_custkey % 3 = 0 THEN 98 ELSE 95 END AS email_confidence,
+  CASE WHEN c_custkey % 3 = 0 THEN 'csv_email_corroborated_by_notes' ELSE 'only_csv_email' END AS email_selection_reason, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS skill, CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE 2 END AS n_provenance FROM customer""")
+def fused_candidates(spark, d):
+    """The whole way: resolution, fusion, validation."""
+    good = _candidates(spark, d)
+    n = F.size(F.filter("provenance", lambda p: p["field_path"] != "candidate_ref"))
+    return good.select("candidate_id", "full_name", "primary_email", F.round(F.col("email_confidence") * 100).cast("int").alias("email_confidence"), "email_selection_reason", F.get(F.col("skills"), F.lit(0))["name"].alias("skill"), n.alias("n_provenance"))
+
+
+def _candidates(spark, d):
+    obs = checked(_customer_observations(spark, d))
+    return validated(U.fuse(obs, R.resolve(obs)[0]))[0]
+
+
+@query(f"""
+SELECT {_CANDIDATE} AS candidate_id, c_name AS name, 'c' || c_custkey || '@x.com' AS mail, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS skill FROM customer""")
+def projected_candidates(spark, d):
+    """Candidates in the shape of a config."""
+    from tessera.operators.project import project
 
-    email, hub = F.when(F.col("c_custkey") % 3 == 0, 97).otherwise(0), F.when(F.col("c_custkey") % 2 == 0, 90).otherwise(71)
-    w = {k: round(v * 100) for k, v in OVERALL.items()}
-    return T(spark, d, "customer").select("c_custkey", (w["full_name"] * F.lit(90) + w["email"] * email + w["github"] * hub).cast("long").alias("basis"))
+    config = {"fields": [{"path": "name", "from": "full_name", "type": "string", "required": True}, {"path": "contact.mail", "from": "emails[0]"}, {"path": "skill", "from": "skills[0].name", "on_missing": "omit"}]}
+    v = project(_candidates(spark, d), config)
+    at = lambda k: F.get_json_object(F.get(F.filter("values", lambda x: x["path"] == k), F.lit(0))["value"], "$.v")
+    return v.select("candidate_id", at("name").alias("name"), at("contact.mail").alias("mail"), at("skill").alias("skill"))
 
 
 @query("SELECT c_nationkey AS nationkey, 'c' AS source FROM customer UNION ALL SELECT s_nationkey, 's' FROM supplier")
@@ -463,7 +526,7 @@ def set_intersect(spark, d):
 
 @query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def set_except(spark, d):
-    return T(spark, d, "customer").select(F.col("c_custkey").alias("k")).exceptAll(T(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey")).distinct().join(T(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("k")), "k", "left_anti")
+    return T(spark, d, "customer").select(F.col("c_custkey").alias("k")).subtract(T(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey"))
 
 
 @query("""

@@ -116,7 +116,18 @@ def test_projection(spark):
     shape, problems = P.assemble(r["values"])
     assert shape == {"id": "c1", "who": {"name": "Ann"}, "first": "Python", "names": ["py", None], "overall_confidence": 0.8} and problems == []
     assert r.errors == ["Field 'names': expected string[], got list"]
-    assert P.config_errors({"fields": [{"path": "", "type": "x"}], "odd": 1}) != [] and P.config_errors([]) == ["config must be an object"]
+    assert P.config_errors([]) == ["config must be an object"] and P.config_errors({"fields": [], "odd": 1}) == []
+    field = {"path": "name", "from": "full_name"}
+    for config, message in (
+        ({}, "config.fields must be a list"),
+        ({"fields": [], "on_missing": []}, "config.on_missing must be a string"),
+        ({"fields": [], "on_missing": "x"}, f"config.on_missing must be one of {sorted(P.POLICIES)}"),
+        ({"fields": [field], "include_confidence": "yes"}, "config.include_confidence must be a boolean"),
+        ({"fields": [field | {"on_missing": []}]}, "config.fields[0].on_missing must be a string"),
+        ({"fields": [field | {"type": []}]}, "config.fields[0].type must be a string"),
+        ({"fields": [field | {"required": "false"}]}, "config.fields[0].required must be a boolean"),
+    ):
+        assert P.config_errors(config) == [message]
     with pytest.raises(P.PathError):
         P.parse_path("a[-1]")
 
@@ -147,6 +158,43 @@ def test_payloads(spark):
     assert ("github_profile:https://github.com/bob", "links.github") in got and said.count() == 3
 
 
+def test_profiles_over_http():
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    from tessera.sources.profile import http_fetch
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            code, body = {"/users/ann": (200, b'{"name": "Ann"}'), "/users/cut": (200, b"{"), "/users/full": (403, b""), "/users/odd": (500, b"")}.get(self.path, (200, b"[]") if self.path.startswith("/users/ann/repos?") else (404, b""))
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a): ...
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    fetch = http_fetch(timeout=5, base=f"http://127.0.0.1:{server.server_port}")
+    said = lambda u: fetch(f"https://github.com/{u}")[2]
+    assert fetch("https://github.com/ann") == ('{"name": "Ann"}', "[]", "ok")
+    assert said("full") == "Could not fetch GitHub profile 'full': request was forbidden or rate-limited."
+    assert said("gone") == "Could not fetch GitHub profile 'gone': profile or resource was not found."
+    assert said("odd") == "Could not fetch GitHub profile 'odd': unexpected HTTP status 500."
+    assert said("cut").startswith("Could not decode GitHub profile 'cut' response as JSON: ")
+    server.shutdown()
+    server.server_close()
+    assert said("ann").startswith("Could not fetch GitHub profile 'ann': ")
+
+
+def test_observations_are_checked(spark):
+    from tessera.operators.validate import checked
+
+    assert checked(observations(spark, [("r1", "emails", "a@x.com")])).count() == 1
+    with pytest.raises(Exception, match="confidence must be between"):
+        checked(observations(spark, [("r1", "emails", "a@x.com", "recruiter_csv", 1.5)])).collect()
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.csv").write_text('﻿Candidate ID,Name,Email,Phone,current_company\nX-1,Ann Lee,"ann@x.com; ann@x.com",+16502530000,"Acme, Inc."\n\nX-2,"Bob\nB",bad@@x,12345,n/a\n', encoding="utf-8")
     (tmp_path / "n.txt").write_text("Knows Docker.", encoding="utf-8")

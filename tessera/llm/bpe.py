@@ -21,6 +21,10 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import CACHE_ENTRIES, Remembered, map_texts
 
 
+#: Pieces, and as many chunks, that a task remembers with their ids, at most (some 150 bytes each).
+PIECES = 1_000_000
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -138,8 +142,8 @@ class Encoder:
 
     def __init__(self, bpe: Bpe, find):
         self.find = find
-        self.pieces = Remembered(lambda piece: tuple(bpe.encode(piece.encode("utf-8", "replace"))))
-        self.chunks = Remembered(lambda chunk: got[0] if len(got := [self.pieces[p] for p in find(chunk)]) == 1 else tuple(chain.from_iterable(got)))
+        self.pieces = Remembered(lambda piece: tuple(bpe.encode(piece.encode("utf-8", "replace"))), PIECES)
+        self.chunks = Remembered(lambda chunk: got[0] if len(got := [self.pieces[p] for p in find(chunk)]) == 1 else tuple(chain.from_iterable(got)), PIECES)
 
     def ids(self, text: str, by_space: bool) -> list[int]:
         self.pieces.turn()

@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, joined, map_texts, mix, windows, words_of, written
+from tessera.llm.common import WordHashes, joined, map_texts, mix, slices, windows, words_of, written
 from tessera.operators.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with a probability of 3e-6.
 BANDS, ROWS = 24, 4
+#: Shingles whose arrivals are drawn together (a text of more goes alone).
+SHINGLES = 1 << 16
 #: Texts of a group that one task lays out against as many others.
 BLOCK = 1024
 
@@ -98,7 +100,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 got, n = np.unique(windows(h, SHINGLE), return_counts=True)
                 sets.append((got, n.astype(float)))
-            sig = registers([s[0] for s in sets], [s[1] for s in sets], bands * rows).reshape(len(texts), bands, rows)
+            parts = [sets[lo:hi] for lo, hi in slices([len(s[0]) for s in sets], SHINGLES)]
+            sig = np.concatenate([registers([s[0] for s in p], [s[1] for s in p], bands * rows) for p in parts]).reshape(len(texts), bands, rows)
             with np.errstate(over="ignore"):
                 band = np.zeros(sig.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):

@@ -17,6 +17,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,7 +189,8 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = salted.groupBy("length", "salt").count()
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     segments = plan(totals, capacity)
-    slots = spark.createDataFrame(segments or [(0, 0, 0, 0, 1, 0)], "length long, rank long, n long, bin long, each long, at long")
+    # As Arrow: rows in Python lists are read by Python workers of their own, which stay beside those of the other plans.
+    slots = spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*(segments or [(0, 0, 0, 0, 1, 0)]))], ["length", "rank", "n", "bin", "each", "at"]))
     before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "row", "piece"))
     ranked = salted.withColumn("n_local", local.cast("long")).join(before.select("length", "salt", "before"), ["length", "salt"]).withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("n_local") - 1)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, freed, joined, map_texts, mix, text_slices, windows, words_of, written
+from tessera.llm.common import WordHashes, freed, joined, map_texts, mix, slices, text_slices, windows, words_of, written
 
 K, WINDOW = 8, 16
 #: Words of a passage at least, of one chain at least, and the share of them that agrees.
@@ -408,6 +408,39 @@ def passages(docs: DataFrame, words: int = PASSAGE, least: int = CHAIN, identity
     return runs.where(F.col("run_end") - F.col("run_start") >= words).drop("new", "run")
 
 
+def without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(__row, text, __spans) to (__row, text, gone): texts without their spans of words; gone marks those that lose all.
+
+    Rows go out in slices of bounded size, and only the texts that have spans become Python strings.
+    """
+    import re
+
+    import pyarrow.compute as pc
+
+    word = re.compile(r"\S+")
+
+    def left_of(text: str, spans: list[dict]) -> str | None:
+        places = [m.span() for m in word.finditer(text)]
+        at, kept = 0, []
+        for s in spans:
+            lo, hi = s["run_start"], min(s["run_end"], len(places))
+            if lo >= hi:
+                continue
+            kept.append(text[at : places[lo][0]])
+            at = places[hi][0] if hi < len(places) else len(text)
+        kept.append(text[at:])
+        return "".join(kept).strip() or None
+
+    for batch in batches:
+        for lo, hi in slices(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist()):
+            b = batch.slice(lo, hi - lo)
+            text, spans = b["text"], b["__spans"]
+            has = pc.and_(text.is_valid(), pc.greater(pc.fill_null(pc.list_value_length(spans), 0), 0))
+            left = pa.array([left_of(text[i].as_py(), spans[i].as_py()) for i in np.flatnonzero(has)], text.type)
+            text = pc.replace_with_mask(text, has, left)
+            yield pa.RecordBatch.from_arrays([b["__row"], text, pc.and_(has, text.is_null())], ["__row", "text", "gone"])
+
+
 def repeated_removed(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut from the later documents; a text that loses all its words goes as a row.
 
@@ -424,32 +457,8 @@ def repeated_removed(docs: DataFrame) -> DataFrame:
     names = [c for c in columns if c != "text"]
     packed = both.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), "text", "__spans")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
-        word = re.compile(r"\S+")
-        for b in batches:
-            out = []
-            for text, spans_ in zip(b["text"].to_pylist(), b["__spans"].to_pylist()):
-                if text is None or not spans_:
-                    out.append(text)
-                    continue
-                places = [m.span() for m in word.finditer(text)]
-                at, kept = 0, []
-                for s in spans_:
-                    lo, hi = s["run_start"], min(s["run_end"], len(places))
-                    if lo >= hi:
-                        continue
-                    kept.append(text[at : places[lo][0]])
-                    at = places[hi][0] if hi < len(places) else len(text)
-                kept.append(text[at:])
-                left = "".join(kept).strip()
-                out.append(left or None)
-            gone = pa.array([o is None and t is not None for o, t in zip(out, b["text"].to_pylist())])
-            yield pa.RecordBatch.from_arrays([b["__row"], pa.array(out, pa.string()), gone], ["__row", "text", "gone"])
-
     row = packed.schema["__row"].dataType.simpleString()
-    cut = packed.mapInArrow(freed(run), f"__row {row}, text string, gone boolean").where("not gone")
+    cut = packed.mapInArrow(freed(without_spans), f"__row {row}, text string, gone boolean").where("not gone")
     made = cut.select("__row.*", "text")
     if "n_chars" in columns:
         made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -180,6 +180,30 @@ def test_fuzzy_passage_is_found(spark):
     assert got[0].run_start <= 20 and got[0].run_end >= 98
 
 
+def test_cut_texts_go_out_in_bounded_slices():
+    import pyarrow as pa
+
+    from tessera.llm.common import SLICE_CHARS
+
+    n = 4000
+    texts = [None if i % 100 == 7 else "" if i % 100 == 8 else " ".join(f"{i}w{k}" for k in range(300)) for i in range(n)]
+    spans = [[{"run_start": 10, "run_end": 60}, {"run_start": 290, "run_end": 400}] if i % 50 == 0 else [{"run_start": 0, "run_end": 300}] if i % 50 == 1 else [] if i % 50 == 2 else None for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array([{"doc_id": i} for i in range(n)]), pa.array(texts), pa.array(spans, pa.list_(pa.struct({"run_start": pa.int32(), "run_end": pa.int32()})))], ["__row", "text", "__spans"])
+    got = []
+    for b in passages.without_spans(iter([batch])):
+        assert sum(len(t or "") for t in b["text"].to_pylist()) <= SLICE_CHARS
+        got += zip(b["__row"].to_pylist(), b["text"].to_pylist(), b["gone"].to_pylist())
+    assert len(got) == n
+    for i, (row, text, gone) in enumerate(got):
+        w = (texts[i] or "").split()
+        expected = texts[i]
+        if i % 50 == 0:
+            expected = " ".join(w[:10] + w[60:290])
+        elif i % 50 == 1:
+            expected = None
+        assert (row, text, gone) == ({"doc_id": i}, expected, i % 50 == 1), i
+
+
 def test_passages_with_foreign_words_between(spark):
     rnd = random.Random(11)
     own = lambda n: ["".join(rnd.choice("klmnopqrst") for _ in range(9)) for _ in range(n)]

@@ -94,3 +94,10 @@ def test_word_ids_equal_the_tokenizer_on_odd_texts():
     for text in texts:
         ids = whole.encode(text, add_special_tokens=False).ids
         assert ids_of(text) == struct.pack(f"<{len(ids)}I", *ids), text
+
+
+def test_plan_comes_without_python_workers(spark):
+    cut = spark.range(50).selectExpr("id as doc_id", "id as row", "0 as piece", "id % 7 + 1 as length")
+    made = packing.packed(cut, 16)
+    assert "ExistingRDD" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == 50

@@ -143,6 +143,19 @@ def test_lines_against_brute_force(spark):
     assert lines.deduplicated(table(spark, [])).count() == 0
 
 
+def test_lines_rarity_is_of_a_sample_and_only_orders(spark, monkeypatch):
+    one_id = spark.range(4000).selectExpr("1L as doc_id", "concat('text ', id) as text")
+    one_text = spark.range(4000).selectExpr("id as doc_id", "'the same text' as text")
+    for docs in (one_id, one_text):
+        assert 350 < lines.sampled(docs).count() < 650  # an eighth is 500
+    rows = [(i, t) for i, t in ROWS if len(t or "") < 5000]
+    cut = lambda: sorted((str(r.doc_id), str(r.text), r.n_removed) for r in lines.deduplicated(table(spark, rows)).collect())
+    expected = cut()
+    for rarity in (bytes(lines.SKETCH), bytes(i % 128 for i in range(lines.SKETCH))):
+        monkeypatch.setattr(lines, "sketch", lambda _, r=rarity: r)
+        assert cut() == expected
+
+
 def test_lines_run_no_python(spark):
     plan = lines.deduplicated(table(spark, ROWS[:3]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import normalize as N
-from tessera.functions.constants import AMBIGUOUS_SKILLS, ATTRIBUTES, CONFIDENCE, COPULAS, NEGATION_CUES, NEGATION_WINDOW, PSEUDO_NEGATIONS, SCOPE_BREAKERS, SKILL_ALIASES
+from tessera.functions.constants import AMBIGUOUS_SKILLS, ATTRIBUTES, CONFIDENCE, COPULAS, NEGATION_CUES, NEGATION_WINDOW, PHONE_RULES, PSEUDO_NEGATIONS, SCOPE_BREAKERS, SKILL_ALIASES
 from tessera.sources.structured import DIAGNOSTIC, OBSERVATION, quoted
 
 # What values look like in text.
@@ -23,6 +23,7 @@ LABELLED = re.compile(rf"\b(?P<label>portfolio(?:\s+(?:url|link))?|website|homep
 LOCAL_PHONE = re.compile(r"\b(?:phone|mobile|tel(?:ephone)?|contact)\s*[:=-]?\s*(?P<number>\d(?:[\s().-]*\d){6,14})", re.I)
 WORD = re.compile(r"[A-Za-z0-9+#]+(?:\.[A-Za-z0-9+#]+)*(?:['’][A-Za-z]+)?")
 CLAUSE = re.compile(r"[.!?;\r\n]")
+_NUMBERS = [(cc, re.compile(cc + national)) for cc, _, national in dict.fromkeys(PHONE_RULES.values())]
 
 
 def _cue(words: list[str], i: int) -> bool:
@@ -57,10 +58,26 @@ def negated(text: str, start: int, end: int, words: list[tuple[str, int, int]])
     return at < len(after) and after[at] in COPULAS and _cue(after, at + 1)
 
 
+def phones(text: str) -> list[tuple[str, int]]:
+    """(run, start) of what looks like a phone. A run that fits no number of its country ends where a number of it ends."""
+    out, at = [], 0
+    while m := PHONE.search(text, at):
+        run, at = m[0].strip(), m.end()
+        digits = re.sub(r"\D", "", run)
+        rules = [r for cc, r in _NUMBERS if digits.startswith(cc)]
+        if run.startswith("+") and rules and not any(r.fullmatch(digits) for r in rules):
+            ends = [e.end() for e in re.finditer(r"\d(?!\d)", run)]
+            fits = [e for e in ends if any(r.fullmatch(re.sub(r"\D", "", run[:e])) for r in rules)]
+            if fits:
+                run, at = run[: fits[-1]], m.start() + fits[-1]
+        out.append((run, m.start()))
+    return out
+
+
 def find(text: str, aliases: dict[str, str]) -> list[tuple[str, str, int, str]]:
     """(kind, raw value, start, label) of all that a text holds, by kind and place."""
     out = [("email", m[0], m.start(), "") for m in EMAIL.finditer(text)]
-    out += [("phone", m[0].strip(), m.start(), "") for m in PHONE.finditer(text)]
+    out += [("phone", v, at, "") for v, at in phones(text)]
     out += [("github", v, m.start(), "") for m in GITHUB.finditer(text) if (v := m[0].rstrip(".,;:]})"))]
     out += [("linkedin", m[0].rstrip(".,;:!?\"'’]})"), m.start(), "") for m in LINKEDIN.finditer(text)]
     out += [("labelled", m["url"].rstrip(".,;:!?\"'’]})"), m.start("url"), " ".join(m["label"].lower().split())) for m in LABELLED.finditer(text)]
@@ -114,6 +131,16 @@ def note_claims(notes: DataFrame, region: str | None = None, aliases: dict[str,
     return given.unionByName(seen), blank.unionByName(local)
 
 
+def note_values(notes: DataFrame, pattern: str, holds: str, norm) -> DataFrame:
+    """(source_id, value): what a pattern of the caller's finds in notes (source_id, text), normalized by ``norm``, once a note.
+
+    Native, for values of one kind whose places aren't asked for. Only texts that
+    hold ``holds``, a part of every match, are searched.
+    """
+    found = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda x: norm(x)))
+    return notes.where(F.contains("text", F.lit(holds))).select("source_id", F.explode(found).alias("value")).where("value is not null").distinct()
+
+
 def read_note(path: str) -> tuple[str | None, list[str], list[str]]:
     """(text, warnings, errors) of a note file in strict UTF-8."""
     if not os.path.exists(path):

@@ -76,22 +76,31 @@ def phones(text: str) -> list[tuple[str, int]]:
 
 def find(text: str, aliases: dict[str, str]) -> list[tuple[str, str, int, str]]:
     """(kind, raw value, start, label) of all that a text holds, by kind and place."""
-    out = [("email", m[0], m.start(), "") for m in EMAIL.finditer(text)]
+    # What a pattern needs is looked for first, in the cases that re.I takes as one.
+    low = text.replace("İ", "i").lower().replace("ſ", "s").replace("ı", "i")
+    has = lambda *parts: any(p in low for p in parts)
+    out = [("email", m[0], m.start(), "") for m in EMAIL.finditer(text)] if has("@") else []
     out += [("phone", v, at, "") for v, at in phones(text)]
-    out += [("github", v, m.start(), "") for m in GITHUB.finditer(text) if (v := m[0].rstrip(".,;:]})"))]
-    out += [("linkedin", m[0].rstrip(".,;:!?\"'’]})"), m.start(), "") for m in LINKEDIN.finditer(text)]
-    out += [("labelled", m["url"].rstrip(".,;:!?\"'’]})"), m.start("url"), " ".join(m["label"].lower().split())) for m in LABELLED.finditer(text)]
-    words = [(m[0].lower().replace("’", "'"), m.start(), m.end()) for m in WORD.finditer(text)]
+    if has("github.com/"):
+        out += [("github", v, m.start(), "") for m in GITHUB.finditer(text) if (v := m[0].rstrip(".,;:]})"))]
+    if has("linkedin.com/in/"):
+        out += [("linkedin", m[0].rstrip(".,;:!?\"'’]})"), m.start(), "") for m in LINKEDIN.finditer(text)]
+    if has("portfolio", "website", "homepage", "personal", "blog", "other"):
+        out += [("labelled", m["url"].rstrip(".,;:!?\"'’]})"), m.start("url"), " ".join(m["label"].lower().split())) for m in LABELLED.finditer(text)]
+    words = None
     seen = set()
     for alias in sorted(aliases, key=len, reverse=True):
-        if alias in AMBIGUOUS_SKILLS or aliases[alias] in seen:
+        if alias in AMBIGUOUS_SKILLS or aliases[alias] in seen or (alias.isascii() and not has(alias.lower())):
             continue
         for m in re.finditer(rf"(?<![A-Za-z0-9]){re.escape(alias)}(?![A-Za-z0-9])", text, re.I):
+            if words is None:
+                words = [(w[0].lower().replace("’", "'"), w.start(), w.end()) for w in WORD.finditer(text)]
             if not negated(text, m.start(), m.end(), words):
                 seen.add(aliases[alias])
                 out.append(("skill", m[0], m.start(), ""))
                 break
-    out += [("local", m["number"].strip(), m.start("number"), str(m.end("number"))) for m in LOCAL_PHONE.finditer(text)]
+    if has("phone", "mobile", "tel", "contact"):
+        out += [("local", m["number"].strip(), m.start("number"), str(m.end("number"))) for m in LOCAL_PHONE.finditer(text)]
     return out
 
 

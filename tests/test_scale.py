@@ -3,7 +3,8 @@
 import duckdb
 
 import __spark_entry__ as entry
-from tessera.sources.notes import note_claims
+from tessera.functions.constants import SKILL_ALIASES
+from tessera.sources.notes import find, note_claims
 
 
 def same_as_sql(spark, name, folder, **tables):
@@ -25,3 +26,17 @@ def test_phones_beside_other_numbers(spark, tmp_path):
     assert len(same_as_sql(spark, "phone_e164", tmp_path, documents=(docs, "doc_id long, text string"))) == 4
     notes = spark.createDataFrame([("n", "+1 (826) 555-4081 190.137.223.204; +91 98765 43210 12", None)], "source_id string, text string, candidate_ref string")
     assert sorted(r.normalized_value for r in note_claims(notes)[0].where("field_path = 'phones'").collect()) == ["+18265554081", "+919876543210"]
+
+
+def test_addresses_as_in_sql(spark, tmp_path):
+    texts = ["a@x.com A@X.com .b@x.com c..d@x.com e@-y.com", "l" * 70 + "@x.com " + "m" * 250 + "@x.com", "f@z.com1@w.org", "no address", None]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])]
+    assert len(same_as_sql(spark, "email_extract", tmp_path, documents=(docs, "doc_id long, text string"))) == 5
+    plan = entry.queries()["email_extract"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "MapIn" not in plan  # no text leaves the JVM
+
+
+def test_find_looks_first():
+    kinds = lambda t: [x[:2] for x in find(t, SKILL_ALIASES)]
+    assert kinds("Dıstrıbuted ſystems, Kubernetes") == [("skill", "Dıstrıbuted ſystems"), ("skill", "Kubernetes")]
+    assert kinds("GİTHUB.com/x; my Website: x.org. No Python") == [("github", "GİTHUB.com/x"), ("labelled", "x.org")]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import OVERALL, SOURCE_PRIORITY
-from tessera.functions.normalize import blank_to_null, company, company_key, name, round2, title_key
+from tessera.functions.normalize import _key, blank_to_null, company, name, round2, title_key
 
 
 def _priority(c: Column) -> Column:
@@ -118,33 +118,55 @@ def hundredths_mean(c: Column) -> Column:
     return F.sum(F.round(c * 100).cast("long")) / F.lit(100.0) / F.count(c)
 
 
-def experience_rows(claims: DataFrame) -> DataFrame:
-    """The best claim of each record's experience fields, with the key of the role they describe."""
-    # Dealt once by record: the ranking, the grouping and the join below all keep to that.
-    e = best(claims.where("field_path like 'experience.%'").repartition("cluster_id", "record_id"), ["cluster_id", "record_id", "field_path"])
-    part = lambda f: F.max(F.when(F.col("field_path") == f"experience.{f}", F.col("value")))
-    r = e.groupBy("cluster_id", "record_id").agg(*[part(f).alias(f) for f in ("company", "title", "start", "end")]).where("company is not null or title is not null")
-    keyed = r.select(
-        "cluster_id", "record_id",
-        F.coalesce(company_key(F.col("company")), F.concat(F.lit("missing-company:"), "record_id")).alias("k1"),
-        F.coalesce(title_key(F.col("title")), F.concat(F.lit("missing-title:"), "record_id")).alias("k2"),
-        F.coalesce(F.lower("start"), F.lit("")).alias("k3"), F.coalesce(F.lower("end"), F.lit("")).alias("k4"),
-    )
-    return e.join(keyed, ["cluster_id", "record_id"])
+EXPERIENCE = ["company", "title", "start", "end"]
+_CLAIM = ["value", "confidence", "source_type", "source_id", "locator", "method", "normalized_value"]
+
+
+def experience_records(claims: DataFrame) -> DataFrame:
+    """cluster_id, record_id and a struct for each experience field: its best claim in the record, null if there is none."""
+    order = [F.coalesce(-F.col("confidence"), F.lit(float("inf"))).alias("_c"), (-F.length("value")).alias("_l"), _priority(F.col("source_type")).alias("_p"), F.col("value").alias("_v"), F.coalesce("locator", F.lit("")).alias("_o")]
+    pick = lambda f: F.min(F.when(F.col("field_path") == f"experience.{f}", F.struct(*order, F.struct(*_CLAIM).alias("claim"))))["claim"]
+    # Dealt once by record: claims of a record meet in one sort.
+    e = claims.where("field_path like 'experience.%'").repartition("cluster_id", "record_id")
+    return e.groupBy("cluster_id", "record_id").agg(*[pick(f).alias(f) for f in EXPERIENCE]).where("company is not null or title is not null")
+
 
+def experience_rows(records: DataFrame) -> DataFrame:
+    """The claims of ``experience_records``, a row each."""
+    row = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.lit(f"experience.{f}").alias("field_path"), *[F.col(f)[c].alias(c) for c in _CLAIM]))
+    return records.select("cluster_id", "record_id", F.inline(F.filter(F.array(*[row(f) for f in EXPERIENCE]), lambda x: x.isNotNull())))
 
-def experience(rows: DataFrame) -> DataFrame:
-    """Per role: the best company, title, start and end, the mean confidence, the sources, and the first record."""
-    # The cleaned name is worked out once a row, and only where it is asked for.
-    rows = rows.withColumn("_v", F.when(F.col("field_path") == "experience.company", company(F.col("value"))))
+
+def experience(records: DataFrame) -> DataFrame:
+    """Per role: the best company, title, start and end, the mean confidence, the sources, and the first record.
+
+    Records of equal values are put together first, so that names are cleaned
+    once for all of them. Where a name might be without letter or digit once it
+    is cleaned, a record stands for itself (a cleaned name keeps its first letter).
+    """
+    plain = lambda f: F.col(f)["value"].rlike(r"^[\p{L}\p{N}]")
+    shared = F.coalesce(plain("company") & plain("title"), F.lit(False))
+    own = [F.when(F.col(f).isNotNull(), F.concat_ws(":", F.col(f)["source_type"], F.col(f)["source_id"])) for f in EXPERIENCE]
+    number = lambda g: sum((F.when(F.col(f).isNotNull(), g(F.col(f))).otherwise(F.lit(0).cast("long")) for f in EXPERIENCE[1:]), F.when(F.col("company").isNotNull(), g(F.col("company"))).otherwise(F.lit(0).cast("long")))
+    rank = lambda f: F.when(F.col(f).isNotNull(), F.struct(F.coalesce(-F.col(f)["confidence"], F.lit(float("inf"))).alias("c"), _priority(F.col(f)["source_type"]).alias("p"), F.coalesce(F.col(f)["locator"], F.lit("")).alias("o")))
+    flat = records.select(
+        "cluster_id", "record_id", F.when(~shared, F.col("record_id")).alias("lone"), *[F.col(f)["value"].alias(f) for f in EXPERIENCE], *[rank(f).alias(f"{f}_r") for f in EXPERIENCE],
+        number(lambda x: F.round(x["confidence"] * 100).cast("long")).alias("h"), number(lambda x: F.when(x["confidence"].isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")).alias("n"), F.array_compact(F.array_distinct(F.array(*own))).alias("labels"),
+    )
+    alike = flat.groupBy("cluster_id", "lone", *EXPERIENCE).agg(*[F.min(f"{f}_r").alias(f"{f}_r") for f in EXPERIENCE], F.sum("h").alias("h"), F.sum("n").alias("n"), F.collect_set("labels").alias("labels"), F.min("record_id").alias("first"))
+    keyed = alike.withColumn("_v", company(F.col("company"))).withColumns({
+        "k1": F.coalesce(_key(F.col("_v")), F.concat(F.lit("missing-company:"), "lone")), "k2": F.coalesce(title_key(F.col("title")), F.concat(F.lit("missing-title:"), "lone")),
+        "k3": F.coalesce(F.lower("start"), F.lit("")), "k4": F.coalesce(F.lower("end"), F.lit("")),
+    })
     v = F.col("_v")
     penalty = F.when(v.rlike(r"\p{L}") & ((v == F.upper(v)) | (v == F.lower(v))), 1).otherwise(0)
-    plain = F.struct(-F.col("confidence"), -F.length("value"), _priority(F.col("source_type")), F.col("value").alias("v"), F.coalesce("locator", F.lit("")))
-    named = F.struct(-F.col("confidence"), penalty, _priority(F.col("source_type")), F.lower(F.coalesce(v, F.lit(""))), F.coalesce("locator", F.lit("")), F.col("value").alias("v"))
-    pick = lambda f, s: F.min(F.when(F.col("field_path") == f"experience.{f}", s))["v"]
-    g = rows.groupBy("cluster_id", "k1", "k2", "k3", "k4").agg(
-        company(pick("company", named)).alias("company"), name(pick("title", plain)).alias("title"), pick("start", plain).alias("start"), pick("end", plain).alias("end"),
-        round2(hundredths_mean(F.col("confidence"))).alias("confidence"), F.array_sort(F.collect_set(label())).alias("sources"), F.min("record_id").alias("first"),
+    r = lambda f, k: F.col(f"{f}_r")[k]
+    named = F.struct(r("company", "c"), penalty, r("company", "p"), F.lower(F.coalesce(v, F.lit(""))), r("company", "o"), F.col("company").alias("value"), v.alias("v"))
+    valued = lambda f: F.struct(r(f, "c"), -F.length(f), r(f, "p"), F.col(f).alias("v"), r(f, "o"))
+    pick = lambda f, s: F.min(F.when(F.col(f).isNotNull(), s))["v"]
+    g = keyed.groupBy("cluster_id", "k1", "k2", "k3", "k4").agg(
+        pick("company", named).alias("company"), name(pick("title", valued("title"))).alias("title"), pick("start", valued("start")).alias("start"), pick("end", valued("end")).alias("end"),
+        round2(F.sum("h") / F.lit(100.0) / F.sum("n")).alias("confidence"), F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("labels"))))).alias("sources"), F.min("first").alias("first"),
     )
     return g.drop("k1", "k2", "k3", "k4")
 
@@ -183,8 +205,8 @@ def fuse(observations: DataFrame, record_cluster: DataFrame) -> DataFrame:
     sk = skills(claims.where("field_path = 'skills'"), ["cluster_id"])
     sk = sk.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("_c"), "name", "confidence", "sources"))).alias("s"), hundredths_mean(F.col("confidence")).alias("skill_c"))
     sk = sk.select("cluster_id", F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["confidence"].alias("confidence"), x["sources"].alias("sources"))).alias("skills"), "skill_c")
-    rows = experience_rows(claims)
-    ex = experience(rows).groupBy("cluster_id").agg(
+    worked = experience_records(claims)
+    ex = experience(worked).groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("_c"), F.coalesce("company", F.lit("")).alias("_o"), F.coalesce("title", F.lit("")).alias("_t"), F.col("first").alias("_f"), "company", "title", "start", "end", "confidence", "sources"))).alias("e"),
         hundredths_mean(F.col("confidence")).alias("experience_c"),
     )
@@ -192,7 +214,7 @@ def fuse(observations: DataFrame, record_cluster: DataFrame) -> DataFrame:
     cols = ["cluster_id", "field_path", "normalized_value", "source_type", "source_id", "locator", "method", "confidence"]
     listed = claims.where(F.col("field_path").isin("emails", "phones", "links.other", "application.applied_at", "application.id"))
     skilled = claims.where("field_path = 'skills'").withColumn("field_path", F.concat(F.lit("skills["), F.col("value"), F.lit("]")))
-    seen = provenance([x.select(*cols) for x in (chosen, listed, skilled, rows)])
+    seen = provenance([x.select(*cols) for x in (chosen, listed, skilled, experience_rows(worked))])
     out = record_cluster.select("cluster_id").distinct()
     for part in (scalars, contacts(claims, records, "emails", "email"), contacts(claims, records, "phones", "phone"), other, sk, ex, seen):
         out = out.join(part, "cluster_id", "left")

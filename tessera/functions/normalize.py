@@ -20,7 +20,8 @@ _SPACE = r"(?U)\s+"
 
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    plain = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    return F.when(plain, c).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def blank_to_null(c: Column) -> Column:

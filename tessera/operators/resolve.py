@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.constants import PHONE_BUCKET
 from tessera.functions.normalize import blank_to_null, cluster_id, name_tokens
 from tessera.operators.components import components
-from tessera.operators.scratch import stored
+from tessera.operators.scratch import kept, stored
 
 #: Key kinds by field, in the order in which they are merged; phones are last and conditional.
 KINDS = {"candidate_ref": (0, "candidate_ref:"), "links.github": (1, "github:"), "emails": (2, "email:"), "phones": (3, "phone:")}
@@ -39,7 +39,7 @@ def phone_pairs(keys: DataFrame, observations: DataFrame, most: int = PHONE_BUCK
     phones = keys.where("priority = 3").select("key", "record_id")
     small = phones.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("key")
     few = phones.join(small, "key")
-    pairs = few.select("key", F.col("record_id").alias("a")).join(few.select("key", F.col("record_id").alias("b")), "key").where("a < b")
+    pairs = kept(few.select("key", F.col("record_id").alias("a")).join(few.select("key", F.col("record_id").alias("b")), "key").where("a < b"))
     tokens = F.sort_array(name_tokens(F.col("normalized_value")))
     names = observations.where("field_path = 'full_name'").select("record_id", tokens.alias("t")).where("size(t) > 0").distinct().select("record_id", F.concat(F.lit("name:"), F.array_join("t", " ")).alias("why"))
     shared = keys.where("priority < 3").select("record_id", F.col("key").alias("why")).union(names)
@@ -128,7 +128,7 @@ def resolve(observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     record_cluster: record_id, cluster_id. clusters: cluster_id, record_ids,
     identity_keys (both sorted). warnings: order, key, message, in the order of
-    keys once sorted by the first two.
+    keys once sorted by the first two. Clusters and warnings are worked out when they are read.
 
     Records that references tie form groups, which no other key can join with
     each other. So only records without reference carry the effect of one key to
@@ -138,14 +138,14 @@ def resolve(observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     records = observations.select("record_id").distinct()
     keys = stored(identity_keys(observations))
-    pairs = stored(phone_pairs(keys, observations))
+    pairs = kept(phone_pairs(keys, observations))
     refs = keys.where("priority = 0")
     tied = components(_star(refs))
     held = stored(refs.select("record_id").distinct().join(tied.select(F.col("node").alias("record_id"), F.col("root").alias("g")), "record_id", "left").select("record_id", F.coalesce("g", "record_id").alias("g")))
-    labels = stored(held.join(refs, "record_id").groupBy("g").agg(F.array_sort(F.collect_set(F.expr("substring(key, length('candidate_ref:') + 1)"))).alias("refs")))
+    labels = held.join(refs, "record_id").groupBy("g").agg(F.array_sort(F.collect_set(F.expr("substring(key, length('candidate_ref:') + 1)"))).alias("refs"))
     members = stored(keys.where("priority in (1, 2)").join(held, "record_id", "left"))
     on = lambda k: held.select(F.col("record_id").alias(k), F.col("g").alias(f"g{k}"))
-    tied_pairs = stored(pairs.join(on("a"), "a", "left").join(on("b"), "b", "left"))
+    tied_pairs = kept(pairs.join(on("a"), "a", "left").join(on("b"), "b", "left"))
     edges = _star(members.where("g is null").select("key", "record_id")).union(tied_pairs.where("ga is null and gb is null").select("a", "b"))
     flat = components(edges)
     free = stored(records.join(held, "record_id", "left_anti").join(flat.select(F.col("node").alias("record_id"), "root"), "record_id", "left").select("record_id", F.coalesce("root", "record_id").alias("c")))
@@ -153,12 +153,12 @@ def resolve(observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     of_key = stored(members.where("g is null").join(free, "record_id").groupBy("priority", "key").agg(F.min("c").alias("c")))
     named = stored(members.where("g is not null").select("priority", "key", "g").distinct())
     beside = tied_pairs.where("(ga is null) <> (gb is null)").select(F.when(F.col("ga").isNull(), F.col("a")).otherwise(F.col("b")).alias("record_id"), F.coalesce("ga", "gb").alias("g")).join(free, "record_id").select("c", "g")
-    touched = stored(named.join(of_key, ["priority", "key"]).select("c", "g").union(beside).groupBy("c").agg(F.min("g").alias("x"), F.max("g").alias("y")))
+    touched = kept(named.join(of_key, ["priority", "key"]).select("c", "g").union(beside).groupBy("c").agg(F.min("g").alias("x"), F.max("g").alias("y")))
     # A component of one key alone, without pairs, needs no replay: its records join each other and no group.
     mixed = tied_pairs.where("ga is null or gb is null").select(F.when(F.col("ga").isNull(), F.col("a")).otherwise(F.col("b")).alias("record_id")).join(free, "record_id").select("c").distinct()
     several = touched.where("x <> y").select("c")
-    plain = stored(of_key.join(several, "c", "left_semi").join(mixed, "c", "left_anti").groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("priority", "key")).alias("k")).where("n = 1").select("c", "k.*"))
-    open_ = stored(several.join(plain, "c", "left_anti"))
+    plain = kept(of_key.join(several, "c", "left_semi").join(mixed, "c", "left_anti").groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("priority", "key")).alias("k")).where("n = 1").select("c", "k.*"))
+    open_ = kept(several.join(plain, "c", "left_anti"))
     none = lambda t: F.lit(None).cast(t)
     shape = ["c", "kind", "priority", "key", "a", "refs", "b", "refs_b", "ra", "rb"]
     row = lambda df, kind, **k: df.select(*[(F.lit(kind) if c == "kind" else k.get(c, F.col(c) if c in df.columns else none("array<string>" if c.startswith("refs") else "string"))).alias(c) for c in shape])
@@ -170,7 +170,7 @@ def resolve(observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     p = tied_pairs.join(node("a"), "a", "left").join(node("b"), "b", "left").where("ca is not null or cb is not null").join(of("a"), "ga", "left").join(of("b"), "gb", "left")
     p = p.withColumn("c", F.coalesce("ca", "cb")).select("c", "key", "a", "b", "ga", "gb", F.col("ra").alias("la"), F.col("rb").alias("lb"))
     paired = row(p, "p", priority=F.lit(3), a=F.coalesce("ga", "a"), b=F.coalesce("gb", "b"), refs=F.col("la"), refs_b=F.col("lb"), ra=F.col("a"), rb=F.col("b"))
-    replayed = stored(lone.union(groups).union(paired).groupBy("c").applyInPandas(_replay, "record_id string, root string, order int, key string, mark string, ra string, rb string, message string"))
+    replayed = kept(lone.union(groups).union(paired).groupBy("c").applyInPandas(_replay, "record_id string, root string, order int, key string, mark string, ra string, rb string, message string"))
     settled = free.join(open_, "c", "left_anti").join(touched.where("x = y").select("c", F.col("x").alias("g")), "c", "left").select("record_id", F.coalesce("g", "c").alias("root"))
     final = stored(held.select("record_id", F.col("g").alias("root")).union(settled).union(replayed.where("record_id is not null").select("record_id", "root")))
     # Keys that join no group, and pairs of records with references: they contradict.
@@ -196,12 +196,9 @@ def resolve(observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     out = "order int, key string, message string"
     warnings = replayed.where("message is not null and order < 3").select("order", "key", "message").union(few.withColumnRenamed("priority", "order").mapInPandas(ambiguous, out)).union(once.mapInPandas(blocked, out))
-    named_keys = final.join(keys, "record_id", "left").groupBy("root").agg(
-        F.array_sort(F.collect_set("record_id")).alias("record_ids"),
-        F.array_sort(F.collect_set("key")).alias("identity_keys"),
-        F.array_sort(F.collect_set(F.when(F.col("priority") < 3, F.col("key")))).alias("strong"),
-    )
-    fallback = F.transform("record_ids", lambda r: F.concat(F.lit("record:"), r))
-    clusters = stored(named_keys.withColumn("cluster_id", cluster_id(F.when(F.size("strong") > 0, F.col("strong")).otherwise(fallback))))
-    record_cluster = final.join(clusters.select("root", "cluster_id"), "root").select("record_id", "cluster_id")
-    return record_cluster, clusters.select("cluster_id", "record_ids", "identity_keys"), stored(warnings)
+    # A cluster is named by its strong keys; one without any, by its records.
+    strong = final.join(keys.where("priority < 3").select("record_id", "key"), "record_id", "left").groupBy("root").agg(F.collect_set("key").alias("strong"), F.collect_set(F.when(F.col("key").isNull(), F.concat(F.lit("record:"), "record_id"))).alias("bare"))
+    names = stored(strong.select("root", cluster_id(F.when(F.size("strong") > 0, F.col("strong")).otherwise(F.col("bare"))).alias("cluster_id")))
+    clusters = final.join(keys, "record_id", "left").groupBy("root").agg(F.array_sort(F.collect_set("record_id")).alias("record_ids"), F.array_sort(F.collect_set("key")).alias("identity_keys")).join(names, "root")
+    record_cluster = final.join(names, "root").select("record_id", "cluster_id")
+    return record_cluster, clusters.select("cluster_id", "record_ids", "identity_keys"), warnings

@@ -6,6 +6,7 @@ import duckdb
 
 import __spark_entry__ as entry
 from tessera.functions.constants import SKILL_ALIASES
+from tessera.operators import components, scratch
 from tessera.operators import fuse as U
 from tessera.sources.notes import find, note_claims
 
@@ -64,3 +65,13 @@ def test_roles_of_like_names(spark):
     one = lambda r: [f"recruiter_csv:s{r}"]
     assert got == [("1", "Acme", "dev.", 0.82, one(1) + one(2)), ("3", "?!", None, 0.9, one(3)), ("4", "?!", None, 0.9, one(4)), ("5", None, "Dev", 0.9, one(5)), ("6", None, "Dev", 0.9, one(6))]
     assert U.experience_rows(U.experience_records(claims)).count() == 8
+
+
+def test_stars_are_settled_as_they_come(spark, tmp_path, monkeypatch):
+    tables = []
+    monkeypatch.setattr(components, "stored", lambda df: tables.append(1) or scratch.stored(df))
+    assert components.components(spark.createDataFrame([("b", "a"), ("c", "a"), ("e", "d")], "a string, b string")).count() == 3
+    assert len(tables) == 1
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(i, at, i % 3, ("purchase", "view", "signup")[i % 3 if i < 6 else 1], f'{{"k": {i // 4}}}') for i in range(12)]
+    same_as_sql(spark, "constrained_components", tmp_path, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, props string"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.constants import OVERALL, SOURCE_PRIORITY
 from tessera.functions.normalize import _key, blank_to_null, company, name, round2, title_key
+from tessera.operators.scratch import stored
 
 
 def _priority(c: Column) -> Column:
@@ -191,32 +192,41 @@ def overall(parts: dict[str, Column]) -> Column:
     return round2(total)
 
 
+#: Fields that a canonical record is made of, besides those of experience.
+KNOWN = ["full_name", "emails", "phones", "skills", "headline", "links.github", "links.linkedin", "links.portfolio", "links.other", "application.id", "application.applied_at"]
+
+
 def fuse(observations: DataFrame, record_cluster: DataFrame) -> DataFrame:
     """One canonical record per cluster. Claims without a value don't count; a cluster of only such claims is an empty record."""
-    claims = claims_of(observations, record_cluster)
-    records = record_applications(claims)
+    claims = stored(claims_of(observations, record_cluster))
+    # Fields without a claim are known, so that plans leave out what is made of them.
+    worked_at = F.col("field_path").startswith("experience.")
+    listed = claims.where(worked_at | F.col("field_path").isin(KNOWN)).select(F.when(worked_at, "experience").otherwise(F.col("field_path")).alias("f")).distinct()
+    present = {r.f for r in listed.collect()}
+    of = lambda *f: claims.where(F.col("field_path").isin(*f)) if present & set(f) else claims.limit(0)
+    records = record_applications(of("application.id", "application.applied_at"))
     single = {"full_name": "full_name", "links.github": "github", "links.linkedin": "linkedin", "links.portfolio": "portfolio", "headline": "headline"}
-    chosen = best(claims.where(F.col("field_path").isin(*single)), ["cluster_id", "field_path"])
+    chosen = best(of(*single), ["cluster_id", "field_path"])
     scalars = chosen.groupBy("cluster_id").agg(
         *[F.max(F.when(F.col("field_path") == k, F.col("value"))).alias(v) for k, v in single.items()],
         F.max(F.when(F.col("field_path") == "full_name", F.col("confidence"))).alias("name_c"), F.max(F.when(F.col("field_path") == "links.github", F.col("confidence"))).alias("github_c"),
     )
-    other = claims.where("field_path = 'links.other'").groupBy("cluster_id", "value").agg(F.max("confidence").alias("c")).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct(-F.col("c"), F.col("value").alias("v")))).alias("o")).select("cluster_id", F.transform("o", lambda x: x["v"]).alias("other"))
-    sk = skills(claims.where("field_path = 'skills'"), ["cluster_id"])
+    other = of("links.other").groupBy("cluster_id", "value").agg(F.max("confidence").alias("c")).groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct(-F.col("c"), F.col("value").alias("v")))).alias("o")).select("cluster_id", F.transform("o", lambda x: x["v"]).alias("other"))
+    sk = skills(of("skills"), ["cluster_id"])
     sk = sk.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("_c"), "name", "confidence", "sources"))).alias("s"), hundredths_mean(F.col("confidence")).alias("skill_c"))
     sk = sk.select("cluster_id", F.transform("s", lambda x: F.struct(x["name"].alias("name"), x["confidence"].alias("confidence"), x["sources"].alias("sources"))).alias("skills"), "skill_c")
-    worked = experience_records(claims)
+    worked = experience_records(claims if "experience" in present else claims.limit(0))
     ex = experience(worked).groupBy("cluster_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("_c"), F.coalesce("company", F.lit("")).alias("_o"), F.coalesce("title", F.lit("")).alias("_t"), F.col("first").alias("_f"), "company", "title", "start", "end", "confidence", "sources"))).alias("e"),
         hundredths_mean(F.col("confidence")).alias("experience_c"),
     )
     ex = ex.select("cluster_id", F.transform("e", lambda x: F.struct(x["company"].alias("company"), x["title"].alias("title"), x["start"].alias("start"), x["end"].alias("end"), F.lit(None).cast("string").alias("summary"), x["confidence"].alias("confidence"), x["sources"].alias("sources"))).alias("experience"), "experience_c")
     cols = ["cluster_id", "field_path", "normalized_value", "source_type", "source_id", "locator", "method", "confidence"]
-    listed = claims.where(F.col("field_path").isin("emails", "phones", "links.other", "application.applied_at", "application.id"))
-    skilled = claims.where("field_path = 'skills'").withColumn("field_path", F.concat(F.lit("skills["), F.col("value"), F.lit("]")))
+    listed = of("emails", "phones", "links.other", "application.applied_at", "application.id")
+    skilled = of("skills").withColumn("field_path", F.concat(F.lit("skills["), F.col("value"), F.lit("]")))
     seen = provenance([x.select(*cols) for x in (chosen, listed, skilled, experience_rows(worked))])
     out = record_cluster.select("cluster_id").distinct()
-    for part in (scalars, contacts(claims, records, "emails", "email"), contacts(claims, records, "phones", "phone"), other, sk, ex, seen):
+    for part in (scalars, contacts(of("emails"), records, "emails", "email"), contacts(of("phones"), records, "phones", "phone"), other, sk, ex, seen):
         out = out.join(part, "cluster_id", "left")
     text = F.lit(None).cast("string")
     empty = lambda c: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType))

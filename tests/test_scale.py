@@ -9,6 +9,7 @@ from tessera.functions.constants import SKILL_ALIASES
 from tessera.operators import components, scratch
 from tessera.operators import fuse as U
 from tessera.sources.notes import find, note_claims
+from tessera.sources.structured import OBSERVATION
 
 
 def same_as_sql(spark, name, folder, **tables):
@@ -75,3 +76,12 @@ def test_stars_are_settled_as_they_come(spark, tmp_path, monkeypatch):
     at = datetime.datetime(2024, 1, 1)
     rows = [(i, at, i % 3, ("purchase", "view", "signup")[i % 3 if i < 6 else 1], f'{{"k": {i // 4}}}') for i in range(12)]
     same_as_sql(spark, "constrained_components", tmp_path, events=(rows, "event_id long, ts timestamp, user_id long, event_type string, props string"))
+
+
+def test_fusion_leaves_out_what_no_claim_makes(spark, tmp_path):
+    rows = [(i, f"Name{i}", ("A", "B")[i % 2]) for i in range(7)]
+    same_as_sql(spark, "fused_candidates", tmp_path, customer=(rows, "c_custkey long, c_name string, c_mktsegment string"))
+    same_as_sql(spark, "projected_candidates", tmp_path, customer=(rows, "c_custkey long, c_name string, c_mktsegment string"))
+    seen = spark.createDataFrame([("r", "full_name", "Ann", "Ann", ("t", "s", "l"), "m", 0.9)], OBSERVATION)
+    plan = U.fuse(seen, spark.createDataFrame([("r", "c")], "record_id string, cluster_id string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 3  # names and provenance; seven more tables before
